@@ -5,7 +5,9 @@ copies are one node. Representatives that share a band are candidates. No bucket
 all pairs: members are tried against a few centres, components are formed, and only buckets
 that still hold several components go on, minority members against the rest, so that no link
 between different texts of a bucket is lost. Odd sketches (parity bitmaps of the MinHash
-samples) discard most false candidates inside the join; what remains is compared exactly.
+samples) discard most false candidates inside the join, and so does a parity bitmap of each whole
+set: the bits in which two of those differ never outnumber the differing shingles, so it rejects
+no link. What remains is compared exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Shelf
 from .components import components
 
-BANDS, ROWS, BITS = 32, 4, 512
+BANDS, ROWS, BITS, WHOLE_BITS = 32, 4, 512, 2048
 SAMPLES = BANDS * ROWS
 #: Ids of at most this many candidate documents are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -73,6 +75,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set as int64 words."""
+    at = mix(items) % np.uint64(WHOLE_BITS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=WHOLE_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def odd_limit(similarity: float) -> int:
     """Most differing bits expected of two sketches with this similarity."""
     return math.ceil(BITS / 2 * (1 - math.exp(-2 * 2 * SAMPLES * (1 - similarity) / BITS)))
@@ -82,7 +90,7 @@ def _sketcher(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _family()
         for b in batches:
-            ns, sigs, bands, odds = [], [], [], []
+            ns, sigs, bands, odds, whole = [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), size)
                 ns.append(len(s))
@@ -90,6 +98,7 @@ def _sketcher(size: int):
                     sigs.append(None)
                     bands.append(None)
                     odds.append(None)
+                    whole.append(None)
                     continue
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 m = minhashes(s, family)
@@ -98,8 +107,9 @@ def _sketcher(size: int):
                     key = mix(key ^ m[r::ROWS].astype(np.uint64)) * _MUL
                 bands.append(key.view(np.int64))
                 odds.append(odd_sketch(m))
+                whole.append(parity(s))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, longs), pa.array(odds, longs)], ["doc_id", "n", "sig", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, longs), pa.array(odds, longs), pa.array(whole, longs)], ["doc_id", "n", "sig", "bands", "odd", "whole"])
 
     return run
 
@@ -128,9 +138,17 @@ def _confirmer(percent: int):
     return run
 
 
-def _alike(n1: Column, n2: Column, o1: str, o2: str, percent: int, floor: float) -> Column:
-    bits = sum((F.bit_count(F.col(o1)[i].bitwiseXOR(F.col(o2)[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(o1)[0].bitwiseXOR(F.col(o2)[0])))
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (bits <= odd_limit(floor))
+def _differing(x: Column, y: Column, words: int) -> Column:
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, words)), F.bit_count(x[0].bitwiseXOR(y[0])))
+
+
+def _alike(x: str, y: str, percent: int, floor: float) -> Column:
+    """Whether facts x and y (structs of n, odd, whole) may be a link: sizes, then sketches."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    n1, n2 = col(x, "n"), col(y, "n")
+    sizes = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+    odd = _differing(col(x, "odd"), col(y, "odd"), BITS // 64) <= odd_limit(floor)
+    return sizes & odd & ((100 + percent) * _differing(col(x, "whole"), col(y, "whole"), WHOLE_BITS // 64) <= (100 - percent) * (n1 + n2))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, slack: float = 0.2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -143,21 +161,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, slack
     """
     shelf = Shelf(docs.sparkSession, "near")
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = shelf.put(raw.mapInArrow(_sketcher(words), "doc_id long, n long, sig binary, bands array<long>, odd array<long>"))
+    sketches = shelf.put(raw.mapInArrow(_sketcher(words), "doc_id long, n long, sig binary, bands array<long>, odd array<long>, whole array<long>"))
     reps = shelf.put(sketches.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     own = sketches.where("doc_id is not null").join(reps, (sketches.sig == reps.sig) & (sketches.doc_id == reps.rep), "left_semi")
-    nodes = shelf.put(own.select(F.col("doc_id").alias("rep"), "n", "odd", "bands"))
+    nodes = shelf.put(own.select(F.col("doc_id").alias("rep"), F.struct("n", "odd", "whole").alias("f"), "bands"))
     floor = percent / 100 - slack
     buckets = nodes.select("rep", F.explode("bands").alias("band"))
     many = buckets.groupBy("band").agg(F.count("*").alias("k"), F.min("rep").alias("centre")).where("k > 1").drop("k")
     members = shelf.put(buckets.join(many, "band"))
-    facts = nodes.select("rep", "n", "odd")
+    facts = nodes.select("rep", "f")
 
     def test(pairs: DataFrame, filtered: bool) -> DataFrame:
         """The links among distinct pairs (a, b)."""
         if not filtered:
-            fa, fb = (facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
-            pairs = pairs.join(fa, "a").join(fb, "b").where(_alike(F.col("na"), F.col("nb"), "oa", "ob", percent, floor)).select("a", "b")
+            fa, fb = (facts.select(F.col("rep").alias(x), F.col("f").alias(f"f{x}")) for x in "ab")
+            pairs = pairs.join(fa, "a").join(fb, "b").where(_alike("fa", "fb", percent, floor)).select("a", "b")
         pairs = shelf.put(pairs)
         ids = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         if ids.count() <= BROADCAST_IDS:
@@ -189,9 +207,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, slack
             shares = open_.groupBy("band", "comp").count()
             most = shares.groupBy("band").agg(F.max(F.struct("count", "comp")).alias("m")).select("band", F.col("m.comp").alias("most"))
             full = open_.join(facts, "rep").join(most, "band")
-            few = full.where("comp <> most").select("band", F.col("rep").alias("p"), F.col("comp").alias("cp"), F.col("n").alias("np"), F.col("odd").alias("op"))
-            rest = full.select("band", F.col("rep").alias("q"), F.col("comp").alias("cq"), F.col("n").alias("nq"), F.col("odd").alias("oq"), "most")
-            cond = (few.band == rest.band) & ((rest.cq == rest.most) | (few.cp < rest.cq)) & (few.cp != rest.cq) & _alike(F.col("np"), F.col("nq"), "op", "oq", percent, floor)
+            few = full.where("comp <> most").select("band", F.col("rep").alias("p"), F.col("comp").alias("cp"), F.col("f").alias("fp"))
+            rest = full.select("band", F.col("rep").alias("q"), F.col("comp").alias("cq"), F.col("f").alias("fq"), "most")
+            cond = (few.band == rest.band) & ((rest.cq == rest.most) | (few.cp < rest.cq)) & (few.cp != rest.cq) & _alike("fp", "fq", percent, floor)
             more = test(few.join(rest, cond).select(*order("p", "q")).distinct(), True)
         links = shelf.put(links.union(more))
         labels = components(links, shelf)
