@@ -2,8 +2,10 @@
 
 Documents are read as overlapping passages over the benchmark's informative terms. A randomised
 SVD of their TF-IDF matrix is computed in Spark: tasks add up A'(A W) for a broadcast W (terms x
-rank, bounded by the benchmark's vocabulary), two passes over the small passage table. Passages
-and items meet by cosine in the latent space; candidates are confirmed by longest common
+rank, bounded by the benchmark's vocabulary), two passes over the small passage table. The items
+are rows of that matrix too, with the corpus's total weight, so that the latent space keeps each
+item apart; a benchmark of more items than the rank holds is searched in parts. Passages and
+items meet by cosine in the latent space; candidates are confirmed by longest common
 subsequence of words and by a check that the item's answer terms are there.
 """
 
@@ -29,8 +31,8 @@ BLOCKS = 16
 
 
 def tokens(text: str | None) -> list[bytes]:
-    out = [w.strip(_EDGE) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
-    return [w for w in out if w]
+    """Words of a text, A-Z lower-cased, without punctuation."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _EDGE).split()
 
 
 def lcs(item: dict[bytes, int], n: int, words: list[bytes]) -> int:
@@ -70,8 +72,8 @@ def _doc_counts(vocabulary):
         counts = np.zeros(len(terms), np.int64)
         for b in batches:
             for t in b.column("text"):
-                for w in {terms[w] for w in tokens(t.as_py()) if w in terms}:
-                    counts[w] += 1
+                for w in terms.keys() & set(tokens(t.as_py())):
+                    counts[terms[w]] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["term", "n"])
 
@@ -86,6 +88,8 @@ def _passages(index, least: int):
                 docs, starts, ids, texts = [], [], [], []
                 for d, t in zip(b.column("doc_id").slice(i, 200).to_pylist(), b.column("text").slice(i, 200), strict=True):
                     words = tokens(t.as_py())
+                    if len(terms.keys() & set(words)) < least:
+                        continue
                     known = [(j, terms[w]) for j, w in enumerate(words) if w in terms]
                     if len(known) < least:
                         continue
@@ -163,13 +167,21 @@ def _pass(passages: DataFrame, basis: np.ndarray, idf) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.part, np.float64) for r in sorted(parts, key=lambda r: r.block)]).reshape(basis.shape)
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the passages' TF-IDF matrix."""
+def randomised_svd(passages: DataFrame, items: tuple[np.ndarray, np.ndarray, np.ndarray], n_items: int, idf: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF matrix of passages and weighted items."""
     n = len(idf)
     rank = min(rank, n)
     shared = passages.sparkSession.sparkContext.broadcast(idf)
-    q, _ = np.linalg.qr(_pass(passages, np.random.default_rng(seed).standard_normal((n, rank)), shared))
-    y = _pass(passages, q, shared)
+    row, term, w = items
+    heavy = max(1.0, passages.count() / max(1, n_items))
+
+    def both(basis: np.ndarray) -> np.ndarray:
+        out = _pass(passages, basis, shared).copy()
+        np.add.at(out, term, heavy * w[:, None] * _project(row, term, w, basis, n_items)[row])
+        return out
+
+    q, _ = np.linalg.qr(both(np.random.default_rng(seed).standard_normal((n, rank))))
+    y = both(q)
     values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
     return q @ vectors[:, np.argsort(-values)]
 
@@ -198,12 +210,12 @@ def _search(shared, cosine: float, sure: float, share: float, answer: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 192, cosine: float = 0.35, sure: float = 0.8, share: float = 0.6, answer: float = 0.6, common: float = 0.05, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 272, cosine: float = 0.3, sure: float = 0.8, share: float = 0.6, answer: float = 0.6, rarest: int = 12, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start, item_id, overlap): passages of documents that hold a benchmark item.
 
     overlap is the common subsequence over the item's length: enough alone from ``sure`` on,
-    from ``share`` on if the item's answer terms (its rarest) are there too. Terms in over a
-    ``common`` part of all documents count only among an item's eight rarest. Null and empty
+    from ``share`` on if the item's answer terms (its five rarest) are there too. Passages are
+    weighed by the ``rarest`` terms of each item by document frequency. Null and empty
     texts and items, and rows with a null id, match nothing. Repeated rows match alike.
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "leaks")
@@ -222,20 +234,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 192, cosine
     df = dict(raw.mapInArrow(_doc_counts(spark.sparkContext.broadcast(everything)), "term int, n long").groupBy("term").agg(F.sum("n")).collect())
     n = max(1, raw.count())
     idf_of = {w: math.log((n + 1) / (df.get(i, 0) + 1)) + 0.1 for w, i in everything.items()}
-    informative: set[bytes] = set()
-    rarest = [sorted(set(words), key=lambda w: (-idf_of[w], w)) for _, words in items]
-    for words in rarest:
-        informative |= {*words[:8], *(w for w in words if df.get(everything[w], 0) <= common * n)}
-    terms = {w: i for i, w in enumerate(sorted(informative))}
-    ix = Index(terms, np.array([idf_of[w] for w in sorted(terms)]), [i for i, _ in items], [w for _, w in items], [set(w[: min(5, len(w))]) for w in rarest])
-    least = min(4, *(len({w for w in words if w in terms}) for words in ix.words), 4)
-    passages = shelf.put(raw.mapInArrow(_passages(spark.sparkContext.broadcast(ix), max(1, least)), "doc_id long, start int, terms array<int>, words binary"))
-    ix.basis = randomised_svd(passages, ix.idf, rank)
-    flat = [[terms[w] for w in words if w in terms] for words in ix.words]
-    row, term, w = weights(np.array([t for f in flat for t in f]), np.r_[0, np.cumsum([len(f) for f in flat])], ix.idf)
-    latent = _project(row, term, w, ix.basis, len(flat))
-    ix.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return passages.mapInArrow(_search(spark.sparkContext.broadcast(ix), cosine, sure, share, answer), "doc_id long, start int, item_id long, overlap double")
+    out, size = nothing, max(1, rank * 3 // 4)
+    for i in range(0, len(items), size):
+        part = items[i : i + size]
+        by_rarity = [sorted(set(words), key=lambda w: (-idf_of[w], w)) for _, words in part]
+        names = sorted({w for words in by_rarity for w in words[:rarest]})
+        terms = {w: j for j, w in enumerate(names)}
+        ix = Index(terms, np.array([idf_of[w] for w in names]), [k for k, _ in part], [w for _, w in part], [set(w[:5]) for w in by_rarity])
+        least = min(4, *(len(w[:rarest]) for w in by_rarity), 4)
+        passages = shelf.put(raw.mapInArrow(_passages(spark.sparkContext.broadcast(ix), least), "doc_id long, start int, terms array<int>, words binary"))
+        flat = [[terms[w] for w in words if w in terms] for words in ix.words]
+        row, term, w = weights(np.array([t for f in flat for t in f]), np.r_[0, np.cumsum([len(f) for f in flat])], ix.idf)
+        ix.basis = randomised_svd(passages, (row, term, w), len(flat), ix.idf, rank)
+        latent = _project(row, term, w, ix.basis, len(flat))
+        ix.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        out = out.union(passages.mapInArrow(_search(spark.sparkContext.broadcast(ix), cosine, sure, share, answer), "doc_id long, start int, item_id long, overlap double"))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
