@@ -2,7 +2,8 @@
 
 Documents are read as overlapping passages over the benchmark's informative terms. A randomised
 SVD of their TF-IDF matrix is computed in Spark: tasks add up A'(A W) for a broadcast W (terms x
-rank, bounded by the benchmark's vocabulary), two passes over the small passage table. The items
+rank, bounded by the benchmark's vocabulary), two passes over a bounded sample of passages; every
+passage is searched. The items
 are rows of that matrix too, with the corpus's total weight, so that the latent space keeps each
 item apart; a benchmark of more items than the rank holds is searched in parts. Passages and
 items meet by cosine in the latent space; candidates are confirmed by longest common
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Shelf
 
-#: Words of a passage and of a step; items longer than STEP_BACK words are met in part.
-PASSAGE, STEP = 96, 32
+#: Words of a passage and of a step; items of up to PASSAGE - STEP words stand whole in one.
+PASSAGE, STEP = 128, 64
 #: Benchmarks are broadcast, so their size is checked.
 MAX_ITEMS, MAX_TERMS = 50_000, 400_000
 _EDGE = b".,;:!?\"'()[]{}<>|*#%&$"
@@ -119,7 +120,7 @@ def weights(ids: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.n
 
 
 def _project(row: np.ndarray, term: np.ndarray, w: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, basis.shape[1]), np.float64)
+    out = np.zeros((n, basis.shape[1]), basis.dtype)
     if len(row):
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         out[row[starts]] = np.add.reduceat(w[:, None] * basis[term], starts, axis=0)
@@ -167,6 +168,12 @@ def _pass(passages: DataFrame, basis: np.ndarray, idf) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.part, np.float64) for r in sorted(parts, key=lambda r: r.block)]).reshape(basis.shape)
 
 
+def fit_sample(passages: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` passages, chosen by hash: what the latent basis is fitted on."""
+    share = min(1.0, rows / max(1, passages.count()))
+    return passages.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) < int(1e6 * share))
+
+
 def randomised_svd(passages: DataFrame, items: tuple[np.ndarray, np.ndarray, np.ndarray], n_items: int, idf: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
     """Right singular vectors (terms x rank) of the TF-IDF matrix of passages and weighted items."""
     n = len(idf)
@@ -190,14 +197,14 @@ def _search(shared, cosine: float, sure: float, share: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         items = [masks(w) for w in ix.words]
+        to_items = (ix.basis @ ix.latent.T).astype(np.float32)  # a unit passage times this: cosines with the items
         for b in batches:
             out: list[tuple] = []
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 row, term, w = weights(*_csr(part), ix.idf)
-                latent = _project(row, term, w, ix.basis, part.num_rows)
-                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                for r, k in zip(*np.nonzero(latent @ ix.latent.T >= cosine), strict=True):
+                near = _project(row, term, w.astype(np.float32), to_items, part.num_rows)
+                for r, k in zip(*np.nonzero(near >= cosine), strict=True):
                     words = part.column("words")[int(r)].as_py().split()
                     n = len(ix.words[k])
                     ratio = lcs(items[k], n, words) / n
@@ -210,12 +217,13 @@ def _search(shared, cosine: float, sure: float, share: float, answer: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 272, cosine: float = 0.3, sure: float = 0.8, share: float = 0.6, answer: float = 0.6, rarest: int = 12, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 272, cosine: float = 0.3, sure: float = 0.8, share: float = 0.6, answer: float = 0.6, rarest: int = 8, fit_rows: int = 150_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start, item_id, overlap): passages of documents that hold a benchmark item.
 
     overlap is the common subsequence over the item's length: enough alone from ``sure`` on,
     from ``share`` on if the item's answer terms (its five rarest) are there too. Passages are
-    weighed by the ``rarest`` terms of each item by document frequency. Null and empty
+    weighed by the ``rarest`` terms of each item by document frequency; those with fewer than
+    half of that many are left out. The basis is fitted on about ``fit_rows`` passages. Null and empty
     texts and items, and rows with a null id, match nothing. Repeated rows match alike.
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "leaks")
@@ -241,11 +249,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 272, cosine
         names = sorted({w for words in by_rarity for w in words[:rarest]})
         terms = {w: j for j, w in enumerate(names)}
         ix = Index(terms, np.array([idf_of[w] for w in names]), [k for k, _ in part], [w for _, w in part], [set(w[:5]) for w in by_rarity])
-        least = min(4, *(len(w[:rarest]) for w in by_rarity), 4)
+        least = max(1, min(len(w[:rarest]) for w in by_rarity) // 2)
         passages = shelf.put(raw.mapInArrow(_passages(spark.sparkContext.broadcast(ix), least), "doc_id long, start int, terms array<int>, words binary"))
         flat = [[terms[w] for w in words if w in terms] for words in ix.words]
         row, term, w = weights(np.array([t for f in flat for t in f]), np.r_[0, np.cumsum([len(f) for f in flat])], ix.idf)
-        ix.basis = randomised_svd(passages, (row, term, w), len(flat), ix.idf, rank)
+        ix.basis = randomised_svd(fit_sample(passages, fit_rows), (row, term, w), len(flat), ix.idf, rank)
         latent = _project(row, term, w, ix.basis, len(flat))
         ix.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         out = out.union(passages.mapInArrow(_search(spark.sparkContext.broadcast(ix), cosine, sure, share, answer), "doc_id long, start int, item_id long, overlap double"))
