@@ -116,6 +116,12 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text", threshold: fl
 
 def pii_digest(found: DataFrame) -> DataFrame:
     """Contract columns from ``find_pii``; scores lists every span with its score."""
-    said = lambda ks: F.array_join(F.flatten(F.array(*[F.transform(f"spans_{k}", lambda x, k=k: F.concat_ws(":", F.lit(k), x["s"], x["e"])) for k in ks])), ",")
-    scores = F.array_join(F.flatten(F.array(*[F.transform(f"spans_{k}", lambda x, k=k: F.concat_ws(":", F.lit(k), x["s"], x["e"], x["score"])) for k in PATTERNS])), ",")
-    return found.select("doc_id", *[F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(said(BASE_KINDS), 256).alias("base_sha256"), said(PATTERNS).alias("spans"), scores.alias("scores"))
+
+    def told(kinds: list[str], *parts: str) -> Column:
+        def of(kind: str) -> Column:
+            return F.transform(f"spans_{kind}", lambda x: F.concat_ws(":", F.lit(kind), *[x[p] for p in parts]))
+
+        return F.array_join(F.flatten(F.array(*[of(k) for k in kinds])), ",")
+
+    kinds = list(PATTERNS)
+    return found.select("doc_id", *[F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(told(BASE_KINDS, "s", "e"), 256).alias("base_sha256"), told(kinds, "s", "e").alias("spans"), told(kinds, "s", "e", "score").alias("scores"))
