@@ -245,7 +245,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 272, cosine
     out, size = nothing, max(1, rank * 3 // 4)
     for i in range(0, len(items), size):
         part = items[i : i + size]
-        by_rarity = [sorted(set(words), key=lambda w: (-idf_of[w], w)) for _, words in part]
+        # Terms that no document has can't tell a leak, so they come last.
+        by_rarity = [sorted(set(words), key=lambda w: (everything[w] not in df, -idf_of[w], w)) for _, words in part]
         names = sorted({w for words in by_rarity for w in words[:rarest]})
         terms = {w: j for j, w in enumerate(names)}
         ix = Index(terms, np.array([idf_of[w] for w in names]), [k for k, _ in part], [w for _, w in part], [set(w[:5]) for w in by_rarity])
