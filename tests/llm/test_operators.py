@@ -1,0 +1,294 @@
+"""Operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from vantage.llm import decontam, licenses, line_dedup, mixing, near_dup, pii, quality, queries, substring, toxicity, urls
+from vantage.llm.boosting import BoostedTrees, isotonic
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_quality_base(docs, texts, empty):
+    got = rows(quality.quality_rules(docs, min_group=5))
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        t = t or ""
+        w = SPACE.findall(t)
+        lines = [x for x in t.split("\n") if SPACE.search(x)]
+        win = Counter(zip(w, w[1:], w[2:]))
+        covered = {k + j for k, x in enumerate(zip(w, w[1:], w[2:])) if win[x] > 1 for j in range(3)}
+        r = got[i]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert tuple(r[c] for c in quality.BASE) == want, i
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert not (r.base_failed and r.kept)
+    assert quality.quality_rules(empty).count() == 0
+
+
+def test_quality_rejects_outliers(spark):
+    good = [(i, " ".join(f"w{(i * 7 + j) % 91}{'xyz'[j % 3] * (j % 4)}" for j in range(80)), "en", "s") for i in range(300)]
+    bad = [(1000 + i, " ".join(f"W{(i * 5 + j) % 97}AB##" for j in range(80)), "en", "s") for i in range(20)]
+    got = rows(quality.quality_rules(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")))
+    assert all(got[i].kept for i, *_ in good)
+    assert not any(got[i].kept for i, *_ in bad)
+
+
+def test_chi2():
+    assert quality.chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
+    assert quality.chi2_cdf(9.48773, 4) == pytest.approx(0.95, abs=1e-5)
+
+
+def brute_lines(texts, m):
+    worded = {i: [(k, x) for k, x in enumerate((t or "").split("\n")) if SPACE.search(x)] for i, t in texts.items()}
+    seen, gone = set(), defaultdict(set)
+    for i in sorted(worded):
+        for p in range(len(worded[i]) - m + 1):
+            block = tuple(x for _, x in worded[i][p : p + m])
+            if block in seen:
+                gone[i] |= {k for k, _ in worded[i][p : p + m]}
+            seen.add(block)
+    return gone
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_line_dedup(docs, texts, m):
+    got = {r.doc_id: set(r.gone) for r in line_dedup.repeated_lines(docs, min_lines=m).collect()}
+    assert got == {k: v for k, v in brute_lines(texts, m).items() if v}
+
+
+def test_line_dedup_keeps_columns(docs, texts, empty):
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == [*docs.columns, "lines_gone"] and out.count() == len(texts)
+    assert rows(out)[90].text is None and line_dedup.line_dedup(empty).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum((x := int(c) * (1 + i % 2)) // 10 + x % 10 for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 1, "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii(spark, docs, empty):
+    cases = [
+        "mail é𝄞 a.b@c-d.example.org, x@y z@w.co.uk@q.fr and a@b.c_d@e.f", "10.0.0.1 300.1.1.1 1.2.3.4.5 001.002.003.00004 999999999999.1.1.1", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 0000",
+        "call +1 (456) 555-2186 or +12 +123456789012345678 (+49) 30-1234567.", "IBAN DE89 3704 0044 0532 0130 00 bank", "ssn 123-45-6789; 123-45-6789", None, "", "+" * 99, "1" * 30_000, ("x@" * 3000) + "q", "visa card 378282246310005",
+    ]
+    got = rows(pii.pii_digest(pii.find_pii(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), ["doc_id"])))
+    for i, t in enumerate(cases):
+        want = base_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (i, want, got[i])
+        assert got[i].spans.startswith(",".join(want))
+    assert got[4].n_iban == 1 and got[5].n_ssn == 1 and got[11].n_paycard == 1
+    assert pii.find_pii(empty, ["doc_id"]).count() == 0
+
+
+def shingles(t, n):
+    w = SPACE.findall((t or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_duplicates(docs, texts, empty, n):
+    sets = {i: shingles(t, n) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = rows(near_dup.near_duplicates(docs, words=n))
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in texts}
+    assert near_dup.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_large_family(spark):
+    """A family in which most pairs are links and some members link to few others."""
+    import random
+
+    rng = random.Random(2)
+    seed = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(160):
+        w = list(seed)
+        for _ in range(rng.choice([1, 3, 6, 9])):
+            w[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    sets = {i: shingles(t, 2) for i, t in texts.items()}
+    links = defaultdict(set)
+    for a in texts:
+        for b in texts:
+            if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links[a].add(b)
+    comp = {}
+    for i in texts:
+        if i not in comp:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in comp:
+                    comp[x] = i
+                    todo += links[x]
+    got = rows(near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2))
+    assert {i: r.component_id for i, r in got.items()} == comp
+
+
+def test_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    out = near_dup.near_duplicates(df, words=2).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    assert substring.substring_dedup(df, window=3).agg(F.sum("n_removed")).first()[0] == 6
+    assert line_dedup.line_dedup(df.withColumn("x", F.lit(1)), min_lines=1).count() == 4
+    assert mixing.mix_sources(df.withColumn("source", F.lit("s"))).count() == 4
+
+
+def test_substring_dedup(docs, texts, empty):
+    for size in (5, 13):
+        first = {}
+        words = {i: SPACE.findall(t or "") for i, t in texts.items()}
+        for i in sorted(texts):
+            for p in range(len(words[i]) - size + 1):
+                first.setdefault(tuple(words[i][p : p + size]), i)
+        got = rows(substring.substring_dedup(docs, window=size))
+        for i, w in words.items():
+            gone = {p + j for p in range(len(w) - size + 1) if first[tuple(w[p : p + size])] < i for j in range(size)}
+            kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+            assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), len(gone), kept), i
+            assert sum(s.e - s.s for s in got[i].spans) == len(gone)
+    assert substring.substring_dedup(empty).count() == 0
+
+
+def test_substring_dedup_many_buckets(docs, monkeypatch):
+    want = {i: r.kept for i, r in rows(substring.substring_dedup(docs)).items()}
+    monkeypatch.setattr(substring, "CHARS_PER_BUCKET", 5_000)
+    assert {i: r.kept for i, r in rows(substring.substring_dedup(docs)).items()} == want
+
+
+def test_toxicity(spark, empty):
+    import random
+
+    rng = random.Random(1)
+    words = "the of and that river stone winter garden paper music".split()
+    data, labels = [], []
+    for i in range(900):
+        w = [rng.choice(words) for _ in range(60)]
+        bad = i % 6 == 0
+        if bad:
+            w[rng.randrange(60)] = rng.choice(["idiot", "stupid", "florbex", "florbax"])
+        data.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    data += [(5000, None), (5001, ""), (5002, "word " * 30_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(7, None, None)], "doc_id long, quality int, toxic int")
+    got = rows(toxicity.score_toxicity(docs, toxicity.train(docs, marks)))
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    held = [i for i, _, _ in labels if got[i].held_out]
+    assert sum(got[i].predicted == (i % 6 == 0) for i in held) / len(held) > 0.97
+    nothing = toxicity.train(docs, marks.where("false"))
+    assert toxicity.score_toxicity(empty, nothing).count() == 0 and toxicity.score_toxicity(docs, nothing).count() == len(data)
+
+
+def test_trees_and_isotonic():
+    import numpy as np
+
+    x, y = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
+    assert list(np.interp([1, 2, 3, 4], x, y)) == [0, 0.5, 0.5, 1]
+    z = np.arange(200.0)[:, None] % 20
+    trees = BoostedTrees().fit(z, (z[:, 0] > 12).astype(float))
+    assert ((trees.raw(z) > 0) == (z[:, 0] > 12)).all()
+
+
+def test_licenses(docs, texts, empty, spark):
+    cases = ["Released under the MIT License. mit  license; x", "Licensd under the Apache Licence, Version 2.0", "GNU General Public License general public license", None, "", "é mit license", "mit licensé", "nothing " * 9000 + "apache license"]
+    got = rows(licenses.scan_licenses(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")))
+    for i, t in enumerate(cases):
+        w = [x for x in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER)) if x]
+        base = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({x for _, x in base})))
+    assert got[1].labels == "apache" and got[1].n_base == 0 and 0.8 < got[1].score < 1 and int(got[1].spans.split(":")[-1]) > 0
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_mixing(docs, texts, empty, spark):
+    got = mixing.mix_sources(docs).collect()
+    assert sorted(got) == sorted(mixing.mix_sources(docs.repartition(7)).collect())
+    size = {i: len(SPACE.findall(t or "")) for i, t in texts.items()}
+    assert {r.doc_id: r.size for r in got} == size and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for s, rs in by.items():
+        assert sum(r.size for r in rs) == rs[0].source_size
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs)
+    assert sum(rs[0].target for rs in by.values()) == pytest.approx(1.5 * sum(size.values()))
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_mixing_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 20)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 4)).alias("source"))
+    got = mixing.mix_sources(df).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.count("*").alias("k")).collect()
+    assert sum(r.k for r in got) == 3000 and all(abs(r.n - r.t) <= 40 for r in got)
+
+
+def test_targets():
+    t = mixing.targets({"a": 100, "b": 10, None: 10}, (5.0, 2.0, 1.0), 1.5, 2.0)
+    assert t == {"b": 20.0, "a": 140.0, None: 20.0}
+
+
+def test_leaks(spark, texts, docs, empty):
+    bench = spark.createDataFrame([(1, " ".join(f"q{i} the a" for i in range(12))), (2, " ".join(f"r{i}" for i in range(30))), (3, None), (4, "")], "item_id long, text string")
+    noise = " ".join(f"n{i % 50}" for i in range(150))
+    para = " ".join(f"r{i}" if i % 5 else "other" for i in range(30))
+    planted = {200: noise + " " + " ".join(f"q{i} the a" for i in range(12)) + " " + noise, 201: noise + ". " + para, 202: " ".join(f"r{i}" for i in range(8)), 203: noise}
+    all_ = docs.select("doc_id", "text").union(spark.createDataFrame(list(planted.items()), "doc_id long, text string"))
+    got = rows(decontam.contaminated(all_, bench))
+    assert set(got) == {200, 201} and got[200].best_item == 1 and got[200].overlap == 1.0 and got[201].best_item == 2
+    assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(all_, bench.where("false")).count() == 0
+
+
+def test_lcs():
+    assert decontam.lcs(decontam.masks(list("abcbdab")), 7, list("bdcaba")) == 4
+
+
+def test_urls(spark):
+    rules = [*queries.URL_RULES, ("block", "x.org", "/ab")]
+    cases = [None, "", "no scheme", "https://WWW.Example.com/en/1?x#y", "http://a.example.com/en/", "http://example.com/en", "http://net/es/", "ftp://q.net/es/9", "http://x.org/abc/d", "http://x.org/a", "http://badexample.com/en/", "http://com", "http://a.com?q=/en/", "https://é.com/", "http://h.net/fr/#z"]
+    got = rows(urls.filter_urls(spark.createDataFrame(list(enumerate(cases)) + [(None, "http://x.org/ab")], "page_id long, url string"), rules), "page_id")
+    for i, u in enumerate(cases):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+        fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, None, "allow"))
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best[1], best[2]), u
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
