@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.geo import circular_diff_deg, flat_bearing_deg, flat_distance_m
 from .tracks import recent
 
 BADGES = {"holding": "HOLD", "grid": "GRID", "goaround": "G/A", "formation": "FORM"}
-_W = Window.partitionBy("entity_id").orderBy("ts", "obs_id")
+
+
+def _in_time() -> WindowSpec:
+    return Window.partitionBy("entity_id").orderBy("ts", "obs_id")
 
 
 def _ends(points: DataFrame) -> Column:
@@ -24,14 +28,14 @@ def _ends(points: DataFrame) -> Column:
 
 def holding(points: DataFrame, now: Column) -> DataFrame:
     """entity_id of those that flew 4 km or more in 6 minutes and got less than a quarter of it away."""
-    w = recent(points, now, 360).withColumn("d", flat_distance_m(F.lag("lat").over(_W), F.lag("lon").over(_W), F.col("lat"), F.col("lon")))
+    w = recent(points, now, 360).withColumn("d", flat_distance_m(F.lag("lat").over(_in_time()), F.lag("lon").over(_in_time()), F.col("lat"), F.col("lon")))
     by = w.groupBy("entity_id").agg(F.count("*").alias("n"), F.sum("d").alias("path"), _ends(w).alias("net"))
     return by.where("n >= 8 and path >= 4000 and net / path < 0.25").select("entity_id")
 
 
 def go_around(points: DataFrame, now: Column) -> DataFrame:
     """entity_id of those that sank to 600 m or less within 10 minutes and climbed out again."""
-    w = recent(points, now, 600).withColumn("i", F.row_number().over(_W))
+    w = recent(points, now, 600).withColumn("i", F.row_number().over(_in_time()))
     low = w.groupBy("entity_id").agg(F.count("*").alias("n"), F.min(F.struct("alt_m", "i")).alias("m"))
     both = w.join(low, "entity_id").groupBy("entity_id", "n", "m").agg(F.max(F.when(F.col("i") < F.col("m.i"), F.col("alt_m"))).alias("pre"), F.max(F.when(F.col("i") >= F.col("m.i"), F.col("alt_m"))).alias("post"))
     rule = "n >= 10 and m.alt_m <= 600 and m.i > 1 and m.i - 1 < n - 3 and pre - m.alt_m >= 150 and post - m.alt_m >= 200"
@@ -45,7 +49,7 @@ def survey_grid(points: DataFrame, now: Column) -> DataFrame:
     window can tell, so each entity's steps are folded as one sorted array.
     """
     w = recent(points, now, 1200)
-    step = w.withColumns({"d": flat_distance_m(F.lag("lat").over(_W), F.lag("lon").over(_W), F.col("lat"), F.col("lon")), "b": flat_bearing_deg(F.lag("lat").over(_W), F.lag("lon").over(_W), F.col("lat"), F.col("lon"))})
+    step = w.withColumns({"d": flat_distance_m(F.lag("lat").over(_in_time()), F.lag("lon").over(_in_time()), F.col("lat"), F.col("lon")), "b": flat_bearing_deg(F.lag("lat").over(_in_time()), F.lag("lon").over(_in_time()), F.col("lat"), F.col("lon"))})
     by = step.groupBy("entity_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("d") >= 15, F.struct("ts", "obs_id", "d", "b")))).alias("s")).where("n >= 24")
     mean = "pmod(degrees(atan2(a.s, a.c)), 360d)"
     off = f"pmod(x.b - {mean}, 360d)"

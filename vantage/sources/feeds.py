@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FT, KT = 0.3048, 0.514444
@@ -16,7 +16,8 @@ def _moment(seconds: Column) -> Column:
 
 def receiver_states(documents: DataFrame, column: str = "value") -> DataFrame:
     """Aircraft with a position from whole receiver documents; a malformed one is an error."""
-    d = documents.select(F.from_json(column, RECEIVER, {"mode": "FAILFAST"}).alias("d"))
+    fine = F.when(F.try_parse_json(column).isNull(), F.raise_error(F.lit("malformed receiver document"))).otherwise(F.col(column))
+    d = documents.select(F.from_json(fine, RECEIVER).alias("d"))  # a field of another type, like "ground", is null
     a = d.select(F.coalesce("d.now", F.lit(0.0)).alias("now"), F.explode("d.aircraft").alias("a")).where("a.lat is not null and a.lon is not null")
     zero = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0.0))
     return a.select(
@@ -50,10 +51,10 @@ def latest_kp(documents: DataFrame, column: str = "value") -> DataFrame:
 
 def element_sets(spark: SparkSession, text: DataFrame, column: str = "value") -> DataFrame:
     """(name, l1, l2) of each name line followed by lines that start with "1 " and "2 "."""
-    lines = text.select(F.monotonically_increasing_id().alias("doc"), F.posexplode(F.split(column, "\n")).alias("i", "line")).withColumn("line", F.rtrim("line"))
-    w = Window.partitionBy("doc").orderBy("i")
-    three = lines.where("line <> ''").select(F.trim("line").alias("name"), F.lead("line", 1).over(w).alias("l1"), F.lead("line", 2).over(w).alias("l2"))
-    return three.where(F.col("l1").startswith("1 ") & F.col("l2").startswith("2 "))
+    lines = text.select(F.filter(F.transform(F.split(column, "\n"), lambda x: F.rtrim(x)), lambda x: x != "").alias("l"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("l") - 3), lambda i: F.get("l", i + 1).startswith("1 ") & F.get("l", i + 2).startswith("2 "))
+    at = lines.where(F.size("l") >= 3).select("l", F.explode(starts).alias("i"))
+    return at.select(F.trim(F.get("l", "i")).alias("name"), F.get("l", F.col("i") + 1).alias("l1"), F.get("l", F.col("i") + 2).alias("l2"))
 
 
 def freshest(table: DataFrame, key: str, now: Column, ttl_seconds: int) -> DataFrame:
