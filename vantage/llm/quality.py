@@ -142,9 +142,9 @@ def quality_rules(docs: DataFrame, *, share: float = 0.75, steps: int = 3, min_g
     for _ in range(steps):
         near = _distance(fit, params).withColumn("bin", bin_)
         bins = near.groupBy("gk", "bin").count().groupBy("gk").agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("b"), F.sum("count").alias("n"))
-        cut = bins.select("gk", F.expr(f"aggregate(b, named_struct('n', 0L, 'at', 0), (a, x) -> if(a.n >= {share} * n, a, named_struct('n', a.n + x.count, 'at', x.bin)), a -> a.at)").alias("cut"))
+        cut = shelf.put(bins.select("gk", F.expr(f"aggregate(b, named_struct('n', 0L, 'at', 0), (a, x) -> if(a.n >= {share} * n, a, named_struct('n', a.n + x.count, 'at', x.bin)), a -> a.at)").alias("cut")))  # written, so that its size is known to the join
         then = shelf.put(_cholesky(_moments(near.join(cut, "gk").where("bin <= cut")), shrunk))
-        shelf.drop(params)
+        shelf.drop(params, cut)
         params = then
     inner = chi2_quantile(0.975, p)
     final = shelf.put(_cholesky(_moments(_distance(fit, params).where(F.col("d2") <= inner)), 0.975 / chi2_cdf(inner, p + 2)))
