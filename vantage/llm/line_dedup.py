@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, fresh
 
 _COLS = ["doc", "seg", "pos", "h", "r", "r2"]
 _PREV = ["doc", "seg", "pos", "h"]
@@ -171,10 +171,13 @@ def repeated_lines(docs: DataFrame, *, min_lines: int = 2, text: str = "text", d
     return cover.select(F.col("doc").alias("doc_id"), gone.alias("gone"))
 
 
-def line_dedup(docs: DataFrame, *, min_lines: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def line_dedup(docs: DataFrame, *, min_lines: int = 2, text: str = "text", doc_id: str = "doc_id", marks: str = "lines_gone") -> DataFrame:
     """The input's columns with later copies of repeated line runs cut from ``text``, and
-    ``lines_gone``, the places of the lines that went (null if none). See ``repeated_lines``."""
-    gone = repeated_lines(docs, min_lines=min_lines, text=text, doc_id=doc_id).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("lines_gone"))
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("lines_gone", i)), "\n")
-    out = docs.join(gone, docs[doc_id] == gone._doc, "left").drop("_doc")
-    return out.withColumn(text, F.when(F.col("lines_gone").isNull(), F.col(text)).otherwise(left))
+    ``marks``, the places of the lines that went (null if none). See ``repeated_lines``. An input
+    column named like ``marks`` gives way to it."""
+    docs = docs.drop(marks)
+    key = fresh(docs, "_doc")
+    gone = repeated_lines(docs, min_lines=min_lines, text=text, doc_id=doc_id).select(F.col("doc_id").alias(key), F.col("gone").alias(marks))
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(marks, i)), "\n")
+    out = docs.join(gone, docs[doc_id] == gone[key], "left").drop(key)
+    return out.withColumn(text, F.when(F.col(marks).isNull(), F.col(text)).otherwise(left))
