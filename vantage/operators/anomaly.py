@@ -13,30 +13,51 @@ ROUTE_DEG, Z_SCALE, HOUR_REACH, HOUR_FULL = 60.0, 2.5, 2, 3.0
 ALT_FLOOR, SIGNAL_FLOOR = 500.0, 1.0
 
 
+def _hour() -> Column:
+    return F.date_trunc("hour", "started")
+
+
 def sequenced(tracks: DataFrame) -> DataFrame:
     """Adds ``seq``, from 0 in order of (started, entity_id, segment).
 
-    Tracks are one row per session, far fewer than points; the order is global, so this is one
-    sort whose rows carry only keys.
+    Tracks are numbered within each hour, on top of the running count of the hours before, so
+    that one task orders no more than an hour's tracks; only the row per hour is ordered globally.
     """
-    keys = tracks.select("track_id", "started", "entity_id", "segment")
-    seq = keys.withColumn("seq", F.row_number().over(Window.orderBy("started", "entity_id", "segment")) - 1).select("track_id", "seq")
-    return tracks.join(seq, "track_id")
+    inside, before = Window.partitionBy("_hour").orderBy("started", "entity_id", "segment"), Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tracks.groupBy(_hour().alias("_at")).count().select("_at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    numbered = tracks.withColumn("_hour", _hour()).withColumn("_in", F.row_number().over(inside))
+    out = numbered.join(counts, F.col("_hour").eqNullSafe(F.col("_at")))
+    return out.select(*tracks.columns, (F.col("_before") + F.col("_in") - 1).alias("seq"))
 
 
 def prior_baseline(tracks: DataFrame, weights: AnomalyWeights = WEIGHTS) -> DataFrame:
-    """Per track what earlier ones say: counts, means, spreads, nearest heading, hours nearby."""
-    before = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    small = tracks.select("track_id", "seq", "heading_deg", "mean_alt_m", "mean_signal_dbfs", "start_hour")
-    std = lambda c, floor: F.when(F.count(c).over(before) > 0, F.greatest(F.stddev_pop(c).over(before), F.lit(floor))).otherwise(0.0)
-    base = small.select(
-        "track_id", "seq", "heading_deg", "start_hour", F.count("*").over(before).alias("n_prior"), F.coalesce(F.avg("mean_alt_m").over(before), F.lit(0.0)).alias("alt_mean"), std("mean_alt_m", ALT_FLOOR).alias("alt_std"),
-        F.coalesce(F.avg("mean_signal_dbfs").over(before), F.lit(0.0)).alias("sig_mean"), std("mean_signal_dbfs", SIGNAL_FLOOR).alias("sig_std"), *[F.sum((F.col("start_hour") == h).cast("int")).over(before).alias(f"h{h}") for h in range(24)],
-    )
-    hours = F.array(*[F.coalesce(f"h{h}", F.lit(0)) for h in range(24)])
-    near = sum((hours[F.pmod(F.col("start_hour") + d, F.lit(24))] for d in range(-HOUR_REACH + 1, HOUR_REACH + 1)), hours[F.pmod(F.col("start_hour") - HOUR_REACH, F.lit(24))])
-    base = base.withColumn("hours_near", near).drop(*[f"h{h}" for h in range(24)])
-    return base.drop("heading_deg", "start_hour", "seq").join(nearest_corridor(tracks), "track_id")
+    """Per track what earlier ones say: counts, means, spreads, nearest heading, hours nearby.
+
+    Sums over the hours before a track's own come from one row per hour; those within the hour
+    from a window by hour. Tracks of one hour share their start hour.
+    """
+    alt, sig = F.col("mean_alt_m"), F.col("mean_signal_dbfs")
+    sums = {"n": F.count("*"), "a1": F.sum(alt), "a2": F.sum(alt * alt), "s1": F.sum(sig), "s2": F.sum(sig * sig)}
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_hour").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    small = tracks.select("track_id", "seq", "start_hour", "mean_alt_m", "mean_signal_dbfs", _hour().alias("_hour"))
+    totals = small.groupBy(F.col("_hour").alias("_at")).agg(F.first("start_hour").alias("h"), *[c.alias(k) for k, c in sums.items()])
+    near = F.aggregate(F.col("hours"), F.lit(0).cast("long"), lambda n, x: n + F.when(F.least(F.pmod(F.col("h") - x["h"], F.lit(24)), F.pmod(x["h"] - F.col("h"), F.lit(24))) <= HOUR_REACH, x["n"]).otherwise(0))
+    by_hour = [F.struct(F.lit(h).alias("h"), F.coalesce(F.sum(F.when(F.col("h") == h, F.col("n"))).over(before), F.lit(0)).alias("n")) for h in range(24)]
+    earlier = totals.select("_at", "h", F.array(*by_hour).alias("hours"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"p_{k}") for k in sums])
+    earlier = earlier.select("_at", near.alias("p_near"), *[f"p_{k}" for k in sums])
+    rows = small.select("track_id", "_hour", *[F.coalesce(c.over(inside), F.lit(0)).alias(f"i_{k}") for k, c in sums.items()])
+    both = rows.join(earlier, F.col("_hour").eqNullSafe(F.col("_at"))).select("track_id", (F.col("p_near") + F.col("i_n")).alias("hours_near"), *[(F.col(f"p_{k}") + F.col(f"i_{k}")).alias(k) for k in sums])
+
+    def stats(x: str, floor: float) -> tuple[Column, Column]:
+        n = F.nullif(F.col("n"), F.lit(0))
+        mean = F.col(f"{x}1") / n
+        spread = F.sqrt(F.greatest(F.col(f"{x}2") / n - mean * mean, F.lit(0.0)))
+        return F.coalesce(mean, F.lit(0.0)), F.when(n.isNull(), 0.0).otherwise(F.greatest(spread, F.lit(floor)))
+
+    (am, asd), (sm, ssd) = stats("a", ALT_FLOOR), stats("s", SIGNAL_FLOOR)
+    base = both.select("track_id", F.col("n").alias("n_prior"), am.alias("alt_mean"), asd.alias("alt_std"), sm.alias("sig_mean"), ssd.alias("sig_std"), "hours_near")
+    return base.join(nearest_corridor(tracks), "track_id")
 
 
 def nearest_corridor(tracks: DataFrame) -> DataFrame:
