@@ -1,6 +1,7 @@
 """Operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -277,6 +278,33 @@ def test_leaks(spark, texts, docs, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(all_, bench.where("false")).count() == 0
 
 
+def test_leaks_match_brute_force(spark):
+    """Copies whose rarest words are replaced: every passage is searched for every item."""
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(60)], [f"z{i}" for i in range(400)]
+    items = {k: [rng.choice(common) if i % 6 else rare[k * 9 + i // 6] for i in range(54)] for k in range(40)}
+    texts = {}
+    for k, words in items.items():
+        host = [[rng.choice(common) for _ in range(rng.randint(0, 150))] for _ in range(2)]
+        put = [x if x in common or rng.random() < (k % 3) / 2 else f"other{k}" for x in words]
+        texts[k] = " ".join([*host[0], *put, *host[1]])
+        texts[100 + k] = " ".join(x for x in reversed(words) if x not in common)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    seen = Counter(w for t in texts.values() for w in set(t.split()))
+    want = set()
+    for d, t in texts.items():
+        w = t.split()
+        for s in range(0, max(1, len(w) - 64), 64):
+            for k, item in items.items():
+                ratio = decontam.lcs(decontam.masks(item), len(item), w[s : s + 128]) / len(item)
+                answers = sorted(set(item), key=lambda x: (x not in seen, seen[x], x))[:5]
+                if ratio >= 0.8 or (ratio >= 0.6 and len(set(answers) & set(w[s : s + 128])) >= 3):
+                    want.add((d, s, k, ratio))
+    got = {(r.doc_id, r.start, r.item_id, r.overlap) for r in decontam.find_leaks(df, bench).collect()}
+    assert got == want and {d for d, _, k, _ in got if d == k} == set(items)
+
+
 def test_lcs():
     assert decontam.lcs(decontam.masks(list("abcbdab")), 7, list("bdcaba")) == 4
 

@@ -1,18 +1,15 @@
-"""Benchmark decontamination by latent semantic retrieval.
-
-Documents are read as overlapping passages over the benchmark's informative terms. A randomised
-SVD of their TF-IDF matrix is computed in Spark: tasks add up A'(A W) for a broadcast W (terms x
-rank, bounded by the benchmark's vocabulary), two passes over a bounded sample of passages; every
-passage is searched. The items
-are rows of that matrix too, with the corpus's total weight, so that the latent space keeps each
-item apart; a benchmark of more items than the rank holds is searched in parts. Passages and
-items meet by cosine in the latent space; candidates are confirmed by longest common
-subsequence of words and by a check that the item's answer terms are there.
+"""Benchmark decontamination by longest common subsequence, with an exact filter before it.
+
+Documents are read as overlapping passages over the benchmark's vocabulary. A common subsequence
+holds no more words than the passage and the item share, so the words of an item that a passage
+has, counted by one product of passages x terms and terms x items, bound it from above. Pairs
+whose bound reaches the threshold are confirmed by longest common subsequence of words and by a
+check that the item's answer terms are there; no other pair could be. Benchmarks are searched in
+parts of a bounded number of items and words.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
-
 #: Words of a passage and of a step; items of up to PASSAGE - STEP words stand whole in one.
 PASSAGE, STEP = 128, 64
 #: Benchmarks are broadcast, so their size is checked.
 MAX_ITEMS, MAX_TERMS = 50_000, 400_000
+#: Items and words of items that one part of a search holds; cells of a block of passages x terms.
+PART_ITEMS, PART_WORDS, CELLS = 512, 16_384, 2_000_000
 _EDGE = b".,;:!?\"'()[]{}<>|*#%&$"
-BLOCKS = 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,16 +51,12 @@ def masks(words: list[bytes]) -> dict[bytes, int]:
 
 
 @dataclass
-class Index:
-    """What tasks need: vocabulary, weights, and the items in latent space."""
+class Part:
+    """Items searched together: their ids, words and answer terms."""
 
-    terms: dict[bytes, int]
-    idf: np.ndarray
     ids: list[int]
     words: list[list[bytes]]
     answers: list[set[bytes]]
-    basis: np.ndarray | None = None
-    latent: np.ndarray | None = None
 
 
 def _doc_counts(vocabulary):
@@ -81,152 +73,82 @@ def _doc_counts(vocabulary):
     return run
 
 
-def _passages(index, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = index.value.terms
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                docs, starts, ids, texts = [], [], [], []
-                for d, t in zip(b.column("doc_id").slice(i, 200).to_pylist(), b.column("text").slice(i, 200), strict=True):
-                    words = tokens(t.as_py())
-                    if len(terms.keys() & set(words)) < least:
-                        continue
-                    known = [(j, terms[w]) for j, w in enumerate(words) if w in terms]
-                    if len(known) < least:
-                        continue
-                    place = np.array([j for j, _ in known])
-                    for s in range(0, max(1, len(words) - PASSAGE + STEP), STEP):
-                        lo, hi = np.searchsorted(place, (s, s + PASSAGE))
-                        if hi - lo >= least:
-                            own = [k for _, k in known[lo:hi]]
-                            if len(set(own)) >= least:
-                                docs.append(d)
-                                starts.append(s)
-                                ids.append(own)
-                                texts.append(b" ".join(words[s : s + PASSAGE]))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())], ["doc_id", "start", "terms", "words"])
-
-    return run
-
-
-def weights(ids: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of unit rows: sublinear counts times idf."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    key, n = np.unique(row * len(idf) + ids, return_counts=True)
-    row, term = key // len(idf), key % len(idf)
-    w = (1 + np.log(n)) * idf[term]
-    norm = np.sqrt(np.bincount(row, w * w, len(offsets) - 1))
-    return row, term, w / np.maximum(norm[row], 1e-12)
-
-
-def _project(row: np.ndarray, term: np.ndarray, w: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, basis.shape[1]), basis.dtype)
-    if len(row):
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[starts]] = np.add.reduceat(w[:, None] * basis[term], starts, axis=0)
+def parts(items: list[tuple[int, list[bytes], set[bytes]]]) -> list[Part]:
+    out: list[Part] = []
+    held = 0
+    for k, words, answers in items:
+        if not out or len(out[-1].ids) == PART_ITEMS or held + len(words) > PART_WORDS:
+            out.append(Part([], [], []))
+            held = 0
+        out[-1].ids.append(k)
+        out[-1].words.append(words)
+        out[-1].answers.append(answers)
+        held += len(words)
     return out
 
 
-def _csr(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    col = b.column("terms")
-    return col.flatten().to_numpy(), np.r_[0, np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))]
-
-
-def _gram_times(shared, idf):
-    """Each task's share of A'(A W), cut into blocks of terms."""
-
+class Searcher:
+    """Finds the items of a part in passages given as ids of its terms."""
+
+    def __init__(self, part: Part, sure: float, share: float, answer: float):
+        self.ids = part.ids
+        self.terms = {w: i for i, w in enumerate(sorted({w for words in part.words for w in words}))}
+        self.n = np.array([len(w) for w in part.words])
+        self.masks = [masks([self.terms[w] for w in words]) for words in part.words]
+        self.answers = [{self.terms[w] for w in a} for a in part.answers]
+        self.uses = np.zeros((len(self.terms), len(part.ids)), np.float32)
+        for k, words in enumerate(part.words):
+            np.add.at(self.uses[:, k], [self.terms[w] for w in words], 1)
+        self.sure, self.share, self.answer = sure, share, answer
+        self.least = np.minimum(sure, share) * self.n - 1e-3
+        self.block = max(1, CELLS // len(self.terms))
+
+    def find(self, passages: list[tuple[int, int, list[int]]]) -> Iterator[tuple[int, int, int, float]]:
+        """(doc, start, item id, overlap) of the passages (doc, start, term ids) that hold an item."""
+        for i in range(0, len(passages), self.block):
+            some = passages[i : i + self.block]
+            has = np.zeros((len(some), len(self.terms)), np.float32)
+            has[np.repeat(np.arange(len(some)), [len(own) for _, _, own in some]), np.concatenate([own for _, _, own in some])] = 1
+            bound = has @ self.uses
+            for r, k in zip(*(x.tolist() for x in np.nonzero(bound >= self.least)), strict=True):
+                doc, start, own = some[r]
+                n = len(self.answers[k])
+                known = sum(has[r, t] for t in self.answers[k]) >= self.answer * n
+                needed = min(self.share, self.sure) if known else self.sure
+                if bound[r, k] / self.n[k] >= needed - 1e-6 and (ratio := lcs(self.masks[k], int(self.n[k]), own) / int(self.n[k])) >= needed:
+                    yield doc, start, self.ids[k], ratio
+
+
+def _search(shared, sure: float, share: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = shared.value
-        total = np.zeros_like(basis)
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                ids, offsets = _csr(part)
-                row, term, w = weights(ids, offsets, idf.value)
-                latent = _project(row, term, w, basis, part.num_rows)
-                by = np.argsort(term, kind="stable")
-                if len(by):
-                    starts = np.flatnonzero(np.r_[True, term[by][1:] != term[by][:-1]])
-                    total[term[by][starts]] += np.add.reduceat(w[by][:, None] * latent[row[by]], starts, axis=0)
-        cuts = np.array_split(total, BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary())], ["block", "part"])
-
-    return run
-
-
-def _add_up(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in t.column("part"))
-    return pa.table({"block": t.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
-
-
-def _pass(passages: DataFrame, basis: np.ndarray, idf) -> np.ndarray:
-    spark = passages.sparkSession
-    shared = spark.sparkContext.broadcast(basis)
-    parts = passages.select("terms").mapInArrow(_gram_times(shared, idf), "block int, part binary").groupBy("block").applyInArrow(_add_up, "block int, part binary").collect()
-    if not parts:
-        return np.zeros_like(basis)
-    return np.concatenate([np.frombuffer(r.part, np.float64) for r in sorted(parts, key=lambda r: r.block)]).reshape(basis.shape)
-
-
-def fit_sample(passages: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` passages, chosen by hash: what the latent basis is fitted on."""
-    share = min(1.0, rows / max(1, passages.count()))
-    return passages.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) < int(1e6 * share))
-
-
-def randomised_svd(passages: DataFrame, items: tuple[np.ndarray, np.ndarray, np.ndarray], n_items: int, idf: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the TF-IDF matrix of passages and weighted items."""
-    n = len(idf)
-    rank = min(rank, n)
-    shared = passages.sparkSession.sparkContext.broadcast(idf)
-    row, term, w = items
-    heavy = max(1.0, passages.count() / max(1, n_items))
-
-    def both(basis: np.ndarray) -> np.ndarray:
-        out = _pass(passages, basis, shared).copy()
-        np.add.at(out, term, heavy * w[:, None] * _project(row, term, w, basis, n_items)[row])
-        return out
-
-    q, _ = np.linalg.qr(both(np.random.default_rng(seed).standard_normal((n, rank))))
-    y = both(q)
-    values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-    return q @ vectors[:, np.argsort(-values)]
-
-
-def _search(shared, cosine: float, sure: float, share: float, answer: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        items = [masks(w) for w in ix.words]
-        to_items = (ix.basis @ ix.latent.T).astype(np.float32)  # a unit passage times this: cosines with the items
+        s = Searcher(shared.value, sure, share, answer)
         for b in batches:
             out: list[tuple] = []
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                row, term, w = weights(*_csr(part), ix.idf)
-                near = _project(row, term, w.astype(np.float32), to_items, part.num_rows)
-                for r, k in zip(*np.nonzero(near >= cosine), strict=True):
-                    words = part.column("words")[int(r)].as_py().split()
-                    n = len(ix.words[k])
-                    ratio = lcs(items[k], n, words) / n
-                    has = len(ix.answers[k] & set(words)) >= answer * len(ix.answers[k])
-                    if ratio >= sure or (ratio >= share and has):
-                        out.append((part.column("doc_id")[int(r)].as_py(), part.column("start")[int(r)].as_py(), ix.ids[k], ratio))
+            for i in range(0, b.num_rows, 200):
+                passages = []
+                for d, t in zip(b.column("doc_id").slice(i, 200).to_pylist(), b.column("text").slice(i, 200), strict=True):
+                    words = tokens(t.as_py())
+                    known = [s.terms.get(w, -1) for w in words]
+                    for start in range(0, max(1, len(words) - PASSAGE + STEP), STEP):
+                        own = [k for k in known[start : start + PASSAGE] if k >= 0]
+                        if own:
+                            passages.append((d, start, own))
+                out.extend(s.find(passages))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], ["doc_id", "start", "item_id", "overlap"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 272, cosine: float = 0.3, sure: float = 0.8, share: float = 0.6, answer: float = 0.6, rarest: int = 8, fit_rows: int = 150_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, sure: float = 0.8, share: float = 0.6, answer: float = 0.6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start, item_id, overlap): passages of documents that hold a benchmark item.
 
     overlap is the common subsequence over the item's length: enough alone from ``sure`` on,
-    from ``share`` on if the item's answer terms (its five rarest) are there too. Passages are
-    weighed by the ``rarest`` terms of each item by document frequency; those with fewer than
-    half of that many are left out. The basis is fitted on about ``fit_rows`` passages. Null and empty
-    texts and items, and rows with a null id, match nothing. Repeated rows match alike.
+    from ``share`` on if the item's answer terms (its five rarest) are there too. Every passage
+    is searched for every item. Null and empty texts and items, and rows with a null id, match
+    nothing. Repeated rows match alike.
     """
-    spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "leaks")
+    spark = docs.sparkSession
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where("item_id is not null").dropDuplicates().limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
@@ -235,29 +157,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = 272, cosine
     vocabulary = sorted({w for _, words in items for w in words})
     if len(vocabulary) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} benchmark terms; search the items in parts")
-    nothing = spark.createDataFrame([], "doc_id long, start int, item_id long, overlap double")
+    out = spark.createDataFrame([], "doc_id long, start int, item_id long, overlap double")
     if not items:
-        return nothing
+        return out
     everything = {w: i for i, w in enumerate(vocabulary)}
     df = dict(raw.mapInArrow(_doc_counts(spark.sparkContext.broadcast(everything)), "term int, n long").groupBy("term").agg(F.sum("n")).collect())
-    n = max(1, raw.count())
-    idf_of = {w: math.log((n + 1) / (df.get(i, 0) + 1)) + 0.1 for w, i in everything.items()}
-    out, size = nothing, max(1, rank * 3 // 4)
-    for i in range(0, len(items), size):
-        part = items[i : i + size]
-        # Terms that no document has can't tell a leak, so they come last.
-        by_rarity = [sorted(set(words), key=lambda w: (everything[w] not in df, -idf_of[w], w)) for _, words in part]
-        names = sorted({w for words in by_rarity for w in words[:rarest]})
-        terms = {w: j for j, w in enumerate(names)}
-        ix = Index(terms, np.array([idf_of[w] for w in names]), [k for k, _ in part], [w for _, w in part], [set(w[:5]) for w in by_rarity])
-        least = max(1, min(len(w[:rarest]) for w in by_rarity) // 2)
-        passages = shelf.put(raw.mapInArrow(_passages(spark.sparkContext.broadcast(ix), least), "doc_id long, start int, terms array<int>, words binary"))
-        flat = [[terms[w] for w in words if w in terms] for words in ix.words]
-        row, term, w = weights(np.array([t for f in flat for t in f]), np.r_[0, np.cumsum([len(f) for f in flat])], ix.idf)
-        ix.basis = randomised_svd(fit_sample(passages, fit_rows), (row, term, w), len(flat), ix.idf, rank)
-        latent = _project(row, term, w, ix.basis, len(flat))
-        ix.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        out = out.union(passages.mapInArrow(_search(spark.sparkContext.broadcast(ix), cosine, sure, share, answer), "doc_id long, start int, item_id long, overlap double"))
+    # Terms that no document has can't tell a leak, so they come last.
+    answers = [set(sorted(set(words), key=lambda w: (everything[w] not in df, df.get(everything[w], 0), w))[:5]) for _, words in items]
+    for part in parts([(k, words, a) for (k, words), a in zip(items, answers, strict=True)]):
+        out = out.union(raw.mapInArrow(_search(spark.sparkContext.broadcast(part), sure, share, answer), "doc_id long, start int, item_id long, overlap double"))
     return out
 
 
