@@ -305,6 +305,18 @@ def test_leaks_match_brute_force(spark):
     assert got == want and {d for d, _, k, _ in got if d == k} == set(items)
 
 
+@pytest.mark.parametrize("n", [64, 65, 110, 150, 300, 1100])
+def test_leaks_of_long_items(spark, n):
+    """A verbatim item is found wherever it stands, and its half isn't."""
+    item = [f"i{j}" for j in range(n)]
+    texts = {s: " ".join([f"a{j}" for j in range(s)] + item + [f"b{j}" for j in range(90)]) for s in (0, 1, 37, 63, 64, 100, 127, 500)}
+    texts[-1] = " ".join(item[: n // 2])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "short other item of words")], "item_id long, text string")
+    got = decontam.contaminated(df, bench).collect()
+    assert sorted((r.doc_id, r.best_item, r.overlap) for r in got) == sorted((s, 1, 1.0) for s in texts if s >= 0)
+
+
 def test_lcs():
     assert decontam.lcs(decontam.masks(list("abcbdab")), 7, list("bdcaba")) == 4
 

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a passage and of a step; items of up to PASSAGE - STEP words stand whole in one.
+#: Words of a passage and of a step for items of up to PASSAGE - STEP words, which stand whole in
+#: one; both double for longer items until that holds for them too.
 PASSAGE, STEP = 128, 64
 #: Benchmarks are broadcast, so their size is checked.
 MAX_ITEMS, MAX_TERMS = 50_000, 400_000
@@ -52,8 +53,9 @@ def masks(words: list[bytes]) -> dict[bytes, int]:
 
 @dataclass
 class Part:
-    """Items searched together: their ids, words and answer terms."""
+    """Items searched together by passages of ``factor`` times the least size: their ids, words and answer terms."""
 
+    factor: int
     ids: list[int]
     words: list[list[bytes]]
     answers: list[set[bytes]]
@@ -73,12 +75,21 @@ def _doc_counts(vocabulary):
     return run
 
 
+def factor_of(n: int) -> int:
+    """By how much passages grow so that an item of n words stands whole in one: a power of two."""
+    factor = 1
+    while n > (PASSAGE - STEP) * factor:
+        factor *= 2
+    return factor
+
+
 def parts(items: list[tuple[int, list[bytes], set[bytes]]]) -> list[Part]:
     out: list[Part] = []
     held = 0
-    for k, words, answers in items:
-        if not out or len(out[-1].ids) == PART_ITEMS or held + len(words) > PART_WORDS:
-            out.append(Part([], [], []))
+    for k, words, answers in sorted(items, key=lambda x: (factor_of(len(x[1])), x[0])):
+        factor = factor_of(len(words))
+        if not out or out[-1].factor != factor or len(out[-1].ids) == PART_ITEMS or held + len(words) > PART_WORDS:
+            out.append(Part(factor, [], [], []))
             held = 0
         out[-1].ids.append(k)
         out[-1].words.append(words)
@@ -91,7 +102,7 @@ class Searcher:
     """Finds the items of a part in passages given as ids of its terms."""
 
     def __init__(self, part: Part, sure: float, share: float, answer: float):
-        self.ids = part.ids
+        self.ids, self.step, self.passage = part.ids, STEP * part.factor, PASSAGE * part.factor
         self.terms = {w: i for i, w in enumerate(sorted({w for words in part.words for w in words}))}
         self.n = np.array([len(w) for w in part.words])
         self.masks = [masks([self.terms[w] for w in words]) for words in part.words]
@@ -129,8 +140,8 @@ def _search(shared, sure: float, share: float, answer: float):
                 for d, t in zip(b.column("doc_id").slice(i, 200).to_pylist(), b.column("text").slice(i, 200), strict=True):
                     words = tokens(t.as_py())
                     known = [s.terms.get(w, -1) for w in words]
-                    for start in range(0, max(1, len(words) - PASSAGE + STEP), STEP):
-                        own = [k for k in known[start : start + PASSAGE] if k >= 0]
+                    for start in range(0, max(1, len(words) - s.passage + s.step), s.step):
+                        own = [k for k in known[start : start + s.passage] if k >= 0]
                         if own:
                             passages.append((d, start, own))
                 out.extend(s.find(passages))
@@ -145,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, sure: float = 0.8, shar
 
     overlap is the common subsequence over the item's length: enough alone from ``sure`` on,
     from ``share`` on if the item's answer terms (its five rarest) are there too. Every passage
-    is searched for every item. Null and empty texts and items, and rows with a null id, match
+    is searched for every item; passages are at least twice as long as the item. Null and empty texts and items, and rows with a null id, match
     nothing. Repeated rows match alike.
     """
     spark = docs.sparkSession
