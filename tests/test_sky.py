@@ -196,3 +196,20 @@ def test_weather_runs_merge_kinds(spark):
     rows = [(i, c) for i, c in enumerate(["clear", "rain", "fog", "cloudy", "snow"])]
     w = spark.createDataFrame(rows, "h int, condition string").select(F.concat(F.lit("w"), "h").alias("window_id"), F.timestamp_seconds(F.col("h") * 3600).alias("start"), F.timestamp_seconds(F.col("h") * 3600 + 3600).alias("end"), "condition")
     assert [(r.condition, r.n_windows) for r in weather.runs(w).orderBy("start").collect()] == [("rain", 2), ("snow", 1)]
+
+
+def test_predicted_paths_of_every_observation(spark, sf):
+    from vantage import queries
+    from vantage.functions.geo import M_PER_DEG_LAT, M_PER_DEG_LON
+
+    got = {(r.obs_id, r.k): (r.lat, r.lon, r.alt_m) for r in queries.predicted_paths(spark, sf).collect()}
+    seen = queries.obs(spark, sf).select("obs_id", "lat", "lon", "alt_m", "speed_mps", "track_deg", "vertical_rate_mps").collect()
+    assert len(seen) == 1000 and len(got) == 18 * len(seen)
+    for o in seen:
+        la, lo, z = o.lat, o.lon, o.alt_m
+        for k in range(18):
+            b = math.radians(o.track_deg + 0.5 * 5 * (k + 1))
+            la += o.speed_mps * 5 * math.cos(b) / M_PER_DEG_LAT
+            lo += o.speed_mps * 5 * math.sin(b) / (M_PER_DEG_LON * math.cos(math.radians(la)))
+            z += o.vertical_rate_mps * 5
+            assert got[o.obs_id, k][:2] == pytest.approx((la, lo), abs=1e-6) and got[o.obs_id, k][2] == pytest.approx(z, abs=2e-3)

@@ -255,7 +255,7 @@ def conflict_pairs(spark, d):
 def predicted_paths(spark, d):
     c = F.col
     p = conflict.predicted_path(c("lat"), c("lon"), c("alt_m"), c("speed_mps"), c("track_deg"), c("vertical_rate_mps"), F.lit(0.5))
-    return obs(spark, d).where("obs_id % 10 = 0").select("obs_id", F.posexplode(p).alias("k", "p")).where("k = 17").select("obs_id", r("p.lat", 7, "lat"), r("p.lon", 7, "lon"), r("p.alt_m", 3, "alt_m"))
+    return obs(spark, d).select("obs_id", F.posexplode(p).alias("k", "p")).select("obs_id", "k", r("p.lat", 7, "lat"), r("p.lon", 7, "lon"), r("p.alt_m", 3, "alt_m"))
 
 
 def greedy_keep(spark, d):
