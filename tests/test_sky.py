@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +214,19 @@ def test_predicted_paths_of_every_observation(spark, sf):
             lo += o.speed_mps * 5 * math.sin(b) / (M_PER_DEG_LON * math.cos(math.radians(la)))
             z += o.vertical_rate_mps * 5
             assert got[o.obs_id, k][:2] == pytest.approx((la, lo), abs=1e-6) and got[o.obs_id, k][2] == pytest.approx(z, abs=2e-3)
+
+
+def test_nearest_of_many_copies(spark):
+    """More equal vectors than a chunk's few best: ties go by key whatever the order of rows."""
+    rng = random.Random(4)
+    unit = lambda v: [x / math.hypot(*v) for x in v]
+    copy = unit([rng.gauss(0, 1) for _ in range(8)])
+    keys = rng.sample(range(10_000), 500)
+    vectors = {key: copy if i < 300 else unit([rng.gauss(0, 1) for _ in range(8)]) for i, key in enumerate(keys)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in similarity.nearest(df, df, 3).collect():
+        got.setdefault(r.vec_id, {})[r["rank"]] = r.neighbour
+    for key, v in vectors.items():
+        best = sorted((round(math.dist(v, w), 9), other) for other, w in vectors.items() if other != key)[:3]
+        assert [got[key][i] for i in (1, 2, 3)] == [other for _, other in best]
