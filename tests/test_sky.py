@@ -230,3 +230,17 @@ def test_nearest_of_many_copies(spark):
     for key, v in vectors.items():
         best = sorted((round(math.dist(v, w), 9), other) for other, w in vectors.items() if other != key)[:3]
         assert [got[key][i] for i in (1, 2, 3)] == [other for _, other in best]
+
+
+def test_hour_windows_of_every_track(spark, sf):
+    from datetime import timedelta
+
+    from vantage import queries
+
+    want = set()
+    for r in queries.rolled(spark, sf).select("track_id", "started", "ended").collect():
+        h = r.started.replace(minute=0, second=0, microsecond=0)
+        while h <= r.ended:
+            want.add((r.track_id, f"window:{h:%Y-%m-%dT%H}"))
+            h += timedelta(hours=1)
+    assert {tuple(r) for r in queries.hour_windows(spark, sf).collect()} == want

@@ -141,7 +141,7 @@ def window_activity(spark, d):
 
 def hour_windows(spark, d):
     hours = F.explode(weather.hours_covering(F.col("started"), F.col("ended"))).alias("h")
-    return rolled(spark, d).where("n_points <= 40").select("track_id", hours).select("track_id", graph.window_id(F.col("h")).alias("window_id"))
+    return rolled(spark, d).select("track_id", hours).select("track_id", graph.window_id(F.col("h")).alias("window_id"))
 
 
 def weather_overlap(spark, d):
