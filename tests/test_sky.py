@@ -244,3 +244,14 @@ def test_hour_windows_of_every_track(spark, sf):
             want.add((r.track_id, f"window:{h:%Y-%m-%dT%H}"))
             h += timedelta(hours=1)
     assert {tuple(r) for r in queries.hour_windows(spark, sf).collect()} == want
+
+
+def test_graph_has_similar_tracks(spark, sf):
+    from vantage import queries
+
+    t, _, _, pairs = queries._graph(spark, sf)
+    v = {r.track_id: r.embedding for r in t.select("track_id", "embedding").collect()}
+    best = {a: min((round(math.dist(x, v[b]), 9), b) for b in v if b != a) for a, x in v.items()}
+    want = {(min(a, b), max(a, b)): d for a, (d, b) in best.items()}
+    assert {(r.a, r.b): round(r.distance, 9) for r in pairs.collect()} == pytest.approx(want)
+    assert [r.n for r in queries.graph_edges(spark, sf).where("type = 'similar_to'").collect()] == [5]

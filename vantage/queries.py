@@ -285,7 +285,7 @@ def _graph(spark, d):
     """Track rows are persisted, as node and edge kinds read them many times."""
     t, w = summaries(spark, d).persist(), weather.from_observations(obs(spark, d))
     s = anomaly.score(t, anomaly.prior_baseline(t), similarity.novelty(t)).where("band_rank >= 1").persist()
-    pairs = spark.createDataFrame([], "a string, b string, distance double")
+    pairs = similarity.similar_pairs(similarity.nearest(t, t, 1, key="track_id"), "track_id", "neighbour")
     return t, w, s, pairs
 
 
