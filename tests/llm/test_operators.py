@@ -240,6 +240,11 @@ def test_licenses(docs, texts, empty, spark):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_notice_before_a_better_copy():
+    text = "licensd under cc by nc 4 0 licensed under cc by nc 4 0"
+    assert [(s, e, n) for s, e, _, n, _ in licenses.NoticeFinder().find(text)] == [(0, 26, 1), (27, 54, 0)]
+
+
 def test_mixing(docs, texts, empty, spark):
     got = mixing.mix_sources(docs).collect()
     assert sorted(got) == sorted(mixing.mix_sources(docs.repartition(7)).collect())

@@ -74,9 +74,13 @@ class NoticeFinder:
         for i, runs in windows.items():
             text, label, _, pattern = self.notices[i]
             for lo, hi, _ in runs:
-                for m in pattern.finditer(norm, lo, hi):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((m.start(), m.end(), label, edits, 1 - edits / len(text)))
+                todo = [(lo, hi)]
+                while todo:  # the best match of a part, then what stands on either side of it
+                    a, z = todo.pop()
+                    if (m := pattern.search(norm, a, z)) and m.end() > m.start():
+                        edits = sum(m.fuzzy_counts)
+                        found.append((m.start(), m.end(), label, edits, 1 - edits / len(text)))
+                        todo += [(a, m.start()), (m.end(), z)]
         return sorted(found)
 
 
