@@ -50,22 +50,63 @@ def test_chi2():
     assert quality.chi2_cdf(9.48773, 4) == pytest.approx(0.95, abs=1e-5)
 
 
-def brute_lines(texts, m):
+def brute_lines(texts, m, lone):
     worded = {i: [(k, x) for k, x in enumerate((t or "").split("\n")) if SPACE.search(x)] for i, t in texts.items()}
     seen, gone = set(), defaultdict(set)
     for i in sorted(worded):
-        for p in range(len(worded[i]) - m + 1):
-            block = tuple(x for _, x in worded[i][p : p + m])
-            if block in seen:
-                gone[i] |= {k for k, _ in worded[i][p : p + m]}
-            seen.add(block)
+        for p in range(len(worded[i])):
+            for size in {1, m}:
+                run = worded[i][p : p + size]
+                if len(run) == size:
+                    block = tuple(x for _, x in run)
+                    if block in seen and (size == m or len(SPACE.findall(block[0])) >= lone):
+                        gone[i] |= {k for k, _ in run}
+                    seen.add(block)
     return gone
 
 
-@pytest.mark.parametrize("m", [1, 2, 3])
-def test_line_dedup(docs, texts, m):
-    got = {r.doc_id: set(r.gone) for r in line_dedup.repeated_lines(docs, min_lines=m).collect()}
-    assert got == {k: v for k, v in brute_lines(texts, m).items() if v}
+@pytest.mark.parametrize("m, lone", [(1, 8), (2, 8), (2, 10**6), (3, 10**6)])
+def test_line_dedup(docs, texts, m, lone):
+    got = {r.doc_id: (r.text, set(r.lines_gone or [])) for r in line_dedup.line_dedup(docs, min_lines=m, lone_words=lone).collect()}
+    gone = brute_lines(texts, m, lone)
+    for i, t in texts.items():
+        want = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+        assert got[i] == (want, gone[i]), i
+
+
+def longest_earlier(lines):
+    """By (doc, start): the most lines that also start at an earlier place, and the first such place."""
+    places = [(d, p) for d in sorted(lines) for p in range(len(lines[d]))]
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(lines[a[0]][a[1] :], lines[b[0]][b[1] :])) if x != y), min(len(lines[a[0]]) - a[1], len(lines[b[0]]) - b[1]))
+    out = {}
+    for i, at in enumerate(places):
+        n, k = max(((shared(at, q), -j) for j, q in enumerate(places[:i])), default=(0, 0))
+        out[at] = (n, *places[-k]) if n else (0, None, None)
+    return out
+
+
+@pytest.mark.parametrize("parts", ["1", "13"])
+def test_runs_match_brute_force(spark, parts):
+    """Runs of every length, in one sorted task and across many, with repeats inside documents."""
+    rng = random.Random(11)
+    pool = [f"l{i}" for i in range(6)]
+    lines = {d: [rng.choice(pool[: 1 + d % 6]) for _ in range(rng.randint(1, 40))] for d in range(24)}
+    lines |= {100 + d: lines[5 + d % 3][d % 7 :] + [f"own {d}"] for d in range(12)} | {200 + d: lines[23] for d in range(6)}
+    lines[300] = [f"u{i}" for i in range(90)]
+    lines[301] = ["x"] + lines[300][3:] + ["y"]
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in lines.items()], "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.doc, r.pos): (r.n, r.s_doc, r.s_pos) for r in line_dedup.repeated_runs(df).collect()}
+        runs = {(r.doc_id, r.start): r.n_lines for r in line_dedup.maximal_runs(df).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = longest_earlier(lines)
+    assert {k: got.get(k, (0, None, None)) for k in want} == want
+    assert runs == {(d, p): n for (d, p), (n, *_) in want.items() if n >= 2 and not want.get((d, p - 1), (0,))[0] > n}
 
 
 def test_line_dedup_keeps_columns(docs, texts, empty):

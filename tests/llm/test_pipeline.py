@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 from vantage.llm import queries
 
@@ -23,10 +25,12 @@ def test_line_stage_matches_brute_force(spark, sf):
         lines = r.text.split("\n")
         worded = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
         gone = set()
-        for a, b in zip(worded, worded[1:]):
-            if (lines[a], lines[b]) in seen:
-                gone |= {a, b}
-            seen.add((lines[a], lines[b]))
+        for k, a in enumerate(worded):
+            for run in [worded[k : k + 1]] + [worded[k : k + 2]] * (k + 1 < len(worded)):
+                block = tuple(lines[i] for i in run)
+                if block in seen and (len(run) == 2 or len(re.findall(r"[^\x20\x09-\x0D]+", block[0])) >= 8):
+                    gone |= set(run)
+                seen.add(block)
         text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         if not gone or text.strip(" \t\n\x0b\x0c\r"):
             want[r.doc_id] = text

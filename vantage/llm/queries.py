@@ -80,9 +80,10 @@ def oracle_sql() -> dict[str, str]:
             WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
             lines AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM raw),
             worded AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-            blocks AS (SELECT doc_id, pos, x, lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM worded),
+            blocks AS (SELECT doc_id, pos, x, lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS y, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM worded),
             later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, pos) AS k FROM blocks WHERE y IS NOT NULL) WHERE k > 1),
-            gone AS (SELECT DISTINCT w.doc_id, w.i FROM worded w JOIN later b ON w.doc_id = b.doc_id AND w.pos IN (b.pos, b.pos + 1)),
+            lone AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, w, row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) AS k FROM blocks) WHERE k > 1 AND w >= 8),
+            gone AS (SELECT w.doc_id, w.i FROM worded w JOIN later b ON w.doc_id = b.doc_id AND w.pos IN (b.pos, b.pos + 1) UNION SELECT w.doc_id, w.i FROM worded w JOIN lone b ON w.doc_id = b.doc_id AND w.pos = b.pos),
             kept AS (SELECT l.doc_id, count(g.i) AS n_removed, coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS t FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
             SELECT doc_id, CAST(n_removed AS BIGINT) AS n_removed, sha256(t) AS kept_sha256 FROM kept""",
         "op8_substring_dedup": f"""
