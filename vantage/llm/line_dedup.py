@@ -216,7 +216,7 @@ def repeated_runs(docs: DataFrame, *, lone_words: int = 8, text: str = "text", d
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "lines")
     lines = shelf.put(_line_rows(docs, text, doc_id, lone_words))
-    twice = lines.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    twice = shelf.put(lines.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))  # written, so that the join can split a common line
     met = lines.join(twice, "h", "left_semi").repartition("doc", "th").groupBy(*_PLACE).agg(F.min("h").alias("h"), F.min("at").alias("at"), F.first("lone").alias("lone"))
     seg = F.min("pos").over(Window.partitionBy("doc", "th", "island")).cast("int")
     islands = met.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("doc", "th").orderBy("pos")))
