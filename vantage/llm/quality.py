@@ -1,14 +1,19 @@
 """Quality rules by robust multivariate outliers, in DataFrame operations only.
 
-Every document becomes a vector of transformed statistics. Per language and source a
-minimum-covariance-determinant estimate is found by concentration steps from robust starting
-values (medians and quartile ranges), then reweighted once; a document whose squared
-Mahalanobis distance passes a far chi-square quantile is rejected.
-
-Each concentration step is two passes over the small statistics table. The subset with the
-smallest distances comes from a mergeable histogram of log distances, never from a sort of a
-group, so a source with a third of all rows is pre-aggregated like any other. Estimates are
-written to the shared folder after each step; a lost executor repeats one step at most.
+Every document becomes a vector of transformed statistics. Minimum-covariance-determinant
+estimates are found for all documents, for each language, and for each language and source, by
+concentration steps: the documents nearest by Mahalanobis distance, ``share`` of a group, give the
+next mean and covariance. Each group has three starting estimates; after two steps the one with
+the least determinant goes on until no determinant falls any more, and is reweighted once.
+Languages are then drawn towards all documents and sources towards their language, as if the
+wider group had given ``prior`` documents more, so that small groups need no rule of their own. A
+document whose squared distance passes a far chi-square quantile is rejected.
+
+A step is one pass over the small statistics table: sums of vectors and of products by group and
+bin of log distance. The subset is the lowest bins; the last one counts with the weight that
+makes it exactly ``share``, so documents of one bin (a sixteenth of an octave) weigh alike. No
+group is ever sorted or collected: one with a third of all rows is pre-aggregated like any other.
+Estimates are written to the shared folder after each step; a lost executor repeats one at most.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shelf, words_of
@@ -24,6 +29,8 @@ from .common import Shelf, words_of
 #: Features with the smallest standard deviation that counts (also the covariance ridge).
 FEATURES = {"x_word_len": 0.05, "x_symbols": 0.05, "x_dup_lines": 0.15, "x_repeats": 0.15, "x_capitals": 0.05}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_P, _XS = len(FEATURES), list(FEATURES)
+_PAIRS = [(j, i) for j in range(_P) for i in range(j, _P)]
 
 
 def chi2_cdf(x: float, p: int) -> float:
@@ -81,73 +88,123 @@ def _features() -> dict[str, Column]:
     }
 
 
-def _cholesky(moments: DataFrame, factor: float) -> DataFrame:
-    """From group moments to means m_i and the lower factor l_i_j of the ridged covariance."""
-    p, out = len(FEATURES), moments
-    for j in range(p):
-        for i in range(j, p):
-            c = F.coalesce(F.col(f"c_{j}_{i}"), F.lit(0.0)) * factor + (list(FEATURES.values())[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l_{j}_{j}"))
-    return out.select("gk", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+_SUMS = ["n", *[f"s_{i}" for i in range(_P)], *[f"q_{j}_{i}" for j, i in _PAIRS]]
+_MEANS = [f"m_{i}" for i in range(_P)]
 
 
-def _moments(df: DataFrame) -> DataFrame:
-    xs = list(FEATURES)
-    return df.groupBy("gk").agg(
-        *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(xs)],
-        *[F.covar_pop(xs[j], xs[i]).alias(f"c_{j}_{i}") for j in range(len(xs)) for i in range(j, len(xs))],
-    )
+def _sums(weight: str | None = None) -> list[Column]:
+    """Sums of vectors and products by group, or weighted sums of such sums."""
+    if weight is not None:
+        return [F.expr(f"sum({weight} * {c}) as {c}") for c in _SUMS]
+    return [F.expr("cast(count(*) as double) as n"), *[F.expr(f"sum({x}) as s_{i}") for i, x in enumerate(_XS)], *[F.expr(f"sum({_XS[j]} * {_XS[i]}) as q_{j}_{i}") for j, i in _PAIRS]]
 
 
-def _distance(df: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance; null where a group has no estimate."""
-    out = df.join(params, "gk", how)
-    for i, x in enumerate(FEATURES):
-        z = F.col(x) - F.col(f"m_{i}")
-        for k in range(i):
-            z = z - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
-        out = out.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, len(FEATURES))), F.col("z_0") * F.col("z_0"))
-    return out.select(*df.columns, d2.alias("d2"))
+def _moments(sums: DataFrame, keep: list[str], factor: float) -> DataFrame:
+    """keep, n, means m_i and covariances c_j_i times ``factor``, with the ridge."""
+    floor = list(FEATURES.values())
+    cov = {(j, i): f"(q_{j}_{i} / n - s_{j} / n * (s_{i} / n))" for j, i in _PAIRS}
+    own = [f"greatest({c}, 0d) * {factor!r}d + {floor[i] ** 2!r}d as c_{j}_{i}" if i == j else f"{c} * {factor!r}d as c_{j}_{i}" for (j, i), c in cov.items()]
+    return sums.selectExpr(*keep, "n", *[f"s_{i} / n as m_{i}" for i in range(_P)], *own)
+
+
+def _inverted(moments: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, means m_i, the inverse covariance v_j_i and the log determinant, by five sweeps."""
+    out, at = moments.selectExpr(*keep, *_MEANS, *[f"c_{j}_{i} as v_{j}_{i}" for j, i in _PAIRS], "0d as logdet"), lambda i, j: f"v_{min(i, j)}_{max(i, j)}"
+    for k in range(_P):
+        pivot = f"greatest(v_{k}_{k}, 1e-9d)"
 
+        def swept(j: int, i: int) -> str:
+            if j == i == k:
+                return f"-1 / {pivot}"  # noqa: B023
+            return f"{at(j, i)} / {pivot}" if k in (i, j) else f"{at(j, i)} - {at(j, k)} * {at(k, i)} / {pivot}"  # noqa: B023
 
-def quality_rules(docs: DataFrame, *, share: float = 0.75, steps: int = 3, min_group: int = 60, reject_p: float = 1e-7, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
+        out = out.selectExpr(*keep, *_MEANS, *[f"{swept(j, i)} as v_{j}_{i}" for j, i in _PAIRS], f"logdet + ln({pivot}) as logdet")
+    return out.selectExpr(*keep, *_MEANS, *[f"-v_{j}_{i} as v_{j}_{i}" for j, i in _PAIRS], "logdet")
+
+
+def _distance(df: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance; null where a group has no estimate."""
+    off = [f"({x} - m_{i})" for i, x in enumerate(_XS)]
+    d2 = " + ".join(f"{1 if i == j else 2} * v_{j}_{i} * {off[j]} * {off[i]}" for j, i in _PAIRS)
+    return df.join(params, "gk", how).selectExpr(*df.columns, *[c for c in ("start", "logdet") if c in params.columns], f"{d2} as d2")
+
+
+def _starts(fit: DataFrame, shelf: Shelf) -> DataFrame:
+    """Three starting estimates per group: medians with quartile ranges, the same with the
+    covariance of spatial signs, and the plain mean and covariance."""
+    plain = shelf.put(fit.groupBy("gk").agg(*_sums(), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"r_{i}") for i, x in enumerate(_XS)]))
+    floor = list(FEATURES.values())
+    spread = [f"sqrt(pow((r_{i}[2] - r_{i}[0]) / 1.349d, 2) + {floor[i] ** 2!r}d) as d_{i}" for i in range(_P)]
+    robust = shelf.put(plain.selectExpr("gk", *[f"r_{i}[1] as m_{i}" for i in range(_P)], *spread))
+    scaled = fit.join(robust, "gk").selectExpr("gk", *[f"({x} - m_{i}) / d_{i} as z_{i}" for i, x in enumerate(_XS)])
+    size = f"greatest({' + '.join(f'z_{i} * z_{i}' for i in range(_P))}, 1e-12d)"
+    signs = scaled.groupBy("gk").agg(*[F.expr(f"avg(z_{j} * z_{i} / {size}) as g_{j}_{i}") for j, i in _PAIRS]).join(robust, "gk")
+    parts = [
+        robust.selectExpr("gk", "0 as start", *_MEANS, *[f"{f'd_{i} * d_{i}' if i == j else '0d'} as c_{j}_{i}" for j, i in _PAIRS]),
+        signs.selectExpr("gk", "1 as start", *_MEANS, *[f"d_{i} * d_{j} * ({_P} * g_{j}_{i} + {0.01 if i == j else 0.0}d) as c_{j}_{i}" for j, i in _PAIRS]),
+        _moments(plain, ["gk"], 1.0).selectExpr("gk", "2 as start", *_MEANS, *[f"c_{j}_{i}" for j, i in _PAIRS]),
+    ]
+    return _inverted(parts[0].union(parts[1]).union(parts[2]), ["gk", "start"])
+
+
+def _concentrated(fit: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """One concentration step; ``was`` is the log determinant before it."""
+    bin_ = F.floor(F.log2(F.least(F.greatest(F.col("d2"), F.lit(2.0**-10)), F.lit(2.0**20))) * 16).cast("int")
+    bins = _distance(fit, params).groupBy("gk", "start", bin_.alias("bin")).agg(*_sums(), F.max("logdet").alias("was"))
+    by = Window.partitionBy("gk", "start")
+    before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    weight = F.least(F.greatest((share * F.col("all") - F.col("before")) / F.col("n"), F.lit(0.0)), F.lit(1.0))
+    some = bins.withColumns({"all": F.sum("n").over(by), "before": before}).withColumn("w", weight).where("w > 0")
+    sums = some.groupBy("gk", "start").agg(*_sums("w"), F.max("was").alias("was"))
+    return _inverted(_moments(sums, ["gk", "start", "was"], share / chi2_cdf(chi2_quantile(share, _P), _P + 2)), ["gk", "start", "was"])
+
+
+def _drawn(own: DataFrame, prior: float, keep: list[str]) -> DataFrame:
+    """Estimates of groups with those of the wider groups beside them (w_*) as ``prior`` documents."""
+    gap = [f"(m_{i} - w_m_{i})" for i in range(_P)]
+    mean = [f"(n * m_{i} + {prior}d * w_m_{i}) / (n + {prior}d) as m_{i}" for i in range(_P)]
+    cov = [f"(n * c_{j}_{i} + {prior}d * w_c_{j}_{i} + n * {prior}d / (n + {prior}d) * {gap[j]} * {gap[i]}) / (n + {prior}d) as c_{j}_{i}" for j, i in _PAIRS]
+    return own.selectExpr(*keep, "n", *mean, *cov)
+
+
+def _wider(moments: DataFrame, key: str) -> DataFrame:
+    return moments.select(F.col("gk").alias(key), *[F.col(c).alias(f"w_{c}") for c in moments.columns if c[:2] in ("m_", "c_")])
+
+
+def quality_rules(docs: DataFrame, *, share: float = 0.75, most_steps: int = 12, settled: float = 0.01, prior: float = 60.0, reject_p: float = 1e-7, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and d2, one row per input row.
 
-    share: part of a group that an estimate concentrates on. Groups of language and source with
-    fewer than ``min_group`` documents that pass the base rules share one estimate per language,
-    and if that is still too small none: such documents are kept unless base_failed. Null
-    languages and sources are groups of their own. Empty tables give empty results; repeated
-    rows are judged one by one; other columns are ignored.
+    share: part of a group that an estimate concentrates on. Steps end when no log determinant
+    falls by ``settled`` or more, at the latest after ``most_steps``. prior: documents that a
+    wider group counts for. Estimates are of documents that pass the base rules. Null languages
+    and sources are groups of their own. Empty tables give empty results; repeated rows are
+    judged one by one; other columns are ignored.
     """
-    shelf, p, xs = Shelf(docs.sparkSession, "quality"), len(FEATURES), list(FEATURES)
+    shelf = Shelf(docs.sparkSession, "quality")
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("_text"))
     stats = text_statistics(raw, ["doc_id", "lang", "source"], "_text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    group = F.sha2(F.to_json(F.struct("lang", "source")), 256)
-    stats = shelf.put(stats.select("doc_id", "lang", *BASE, failed.alias("base_failed"), *[c.alias(k) for k, c in _features().items()], group.alias("_own"), F.sha2(F.to_json(F.struct("lang")), 256).alias("_pool")))
-    sizes = stats.where("not base_failed").groupBy("_own", "_pool").count()
-    small = sizes.where(F.col("count") < min_group).groupBy("_pool").agg(F.sum("count").alias("n")).select("_pool", (F.col("n") >= min_group).alias("_pooled"))
-    keys = shelf.put(sizes.join(small, "_pool", "left").select("_own", F.when(F.col("count") >= min_group, F.col("_own")).when(F.col("_pooled"), F.col("_pool")).alias("gk")))
-    stats = stats.join(keys, "_own", "left").drop("_own", "_pool")
-    fit = stats.where("not base_failed and gk is not null").select("gk", *xs)
-    quart = fit.groupBy("gk").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q_{i}") for i, x in enumerate(xs)])
-    start = [F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)]
-    spread = lambda i: (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349
-    params = shelf.put(_cholesky(quart.select("gk", *start, *[(spread(i) * spread(i) if i == j else F.lit(0.0)).alias(f"c_{j}_{i}") for j in range(p) for i in range(j, p)]), 1.0))
-    bin_ = F.floor(F.log2(F.least(F.greatest(F.col("d2"), F.lit(2.0**-6)), F.lit(2.0**14))) * 16).cast("int")
-    shrunk = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    for _ in range(steps):
-        near = _distance(fit, params).withColumn("bin", bin_)
-        bins = near.groupBy("gk", "bin").count().groupBy("gk").agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("b"), F.sum("count").alias("n"))
-        cut = shelf.put(bins.select("gk", F.expr(f"aggregate(b, named_struct('n', 0L, 'at', 0), (a, x) -> if(a.n >= {share} * n, a, named_struct('n', a.n + x.count, 'at', x.bin)), a -> a.at)").alias("cut")))  # written, so that its size is known to the join
-        then = shelf.put(_cholesky(_moments(near.join(cut, "gk").where("bin <= cut")), shrunk))
-        shelf.drop(params, cut)
-        params = then
-    inner = chi2_quantile(0.975, p)
-    final = shelf.put(_cholesky(_moments(_distance(fit, params).where(F.col("d2") <= inner)), 0.975 / chi2_cdf(inner, p + 2)))
+    keys = [F.concat(F.lit("2"), F.to_json(F.struct("lang", "source"))).alias("gk"), F.concat(F.lit("1"), F.to_json(F.struct("lang"))).alias("_lang")]
+    stats = shelf.put(stats.select("doc_id", *BASE, failed.alias("base_failed"), *[c.alias(k) for k, c in _features().items()], *keys))
+    fit = stats.where("not base_failed").select(F.explode(F.array("gk", "_lang", F.lit("0"))).alias("gk"), *_XS)
+    params = held = shelf.put(_starts(fit, shelf))
+    for k in range(most_steps):
+        then = _concentrated(fit, params, share)
+        if k == 1:
+            then = then.withColumn("_k", F.row_number().over(Window.partitionBy("gk").orderBy("logdet", "start"))).where("_k = 1").drop("_k")
+        then = shelf.put(then)
+        shelf.drop(held)
+        params, held = then.drop("was"), then
+        if k > 1 and (then.agg(F.max(F.col("was") - F.col("logdet"))).first()[0] or 0.0) < settled:
+            break
+    inner = chi2_quantile(0.975, _P)
+    sums = _distance(fit, params).where(F.col("d2") <= inner).groupBy("gk").agg(*_sums())
+    found = shelf.put(_moments(sums, ["gk"], 0.975 / chi2_cdf(inner, _P + 2)))
+    whole = _wider(found.where("gk = '0'"), "_all")
+    langs = _drawn(found.where("gk like '1%'").crossJoin(F.broadcast(whole)), prior, ["gk"])  # one row
+    parents = stats.select("gk", "_lang").distinct()
+    own = found.join(parents, "gk").join(_wider(langs, "_lang"), "_lang")
+    final = shelf.put(_inverted(_drawn(own, prior, ["gk"]), ["gk"]).drop("logdet"))
     out = _distance(stats, final, "left")
-    fine = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(1 - reject_p, p), F.lit(True))
+    fine = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(1 - reject_p, _P), F.lit(True))
     return out.select("doc_id", *BASE, "base_failed", fine.alias("kept"), "d2")
