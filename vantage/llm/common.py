@@ -63,6 +63,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
 
 
+def sampled(key: str, size: int, of: int) -> Column:
+    """True for about ``size`` of ``of`` rows, by hash of the key; the same rows on every run."""
+    share = min(1.0, size / max(1, of))
+    return F.lit(True) if share == 1.0 else F.xxhash64(F.col(key), F.lit("sample")) < int(2.0**64 * share) - 2**63
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with underscores before it if the table has such a column already."""
     taken = {c.lower() for c in df.columns}

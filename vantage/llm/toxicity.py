@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, isotonic
-from .common import Shelf
+from .common import Shelf, sampled
 
 #: Fixed word list: common insults in the four languages of the corpus.
 LEXICON = """
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 30_000, lexicon_s
     shelf = Shelf(docs.sparkSession, "toxic")
     ids = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)").where(~held_out("_id")).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     n = ids.count()
-    rows = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(1, n))))
+    rows = ids.where(sampled("_id", sample, n))
     code = F.crc32(F.col("_id").cast("string").cast("binary"))
     part = F.when(code % 3 == 0, 0).when(F.floor(code / 3) % 2 == 0, 1).otherwise(2)
     chosen = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(F.broadcast(rows), "_id")
