@@ -7,6 +7,7 @@ library's bounded-error matching verifies a window around each and gives the edi
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -16,20 +17,37 @@ from pyspark.sql import functions as F
 
 #: Fixed phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short notices, as words, and their labels.
+#: Short notices, as words, and their labels; words in capitals tell a notice from its siblings
+#: and must stand unchanged.
 NOTICES = {
-    "released under the mit license": "mit",
+    "released under the MIT license": "mit",
+    "licensed under the MIT license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "this work is licensed under the gnu general public license version 3": "gpl",
-    "you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "under the terms of the gnu lesser general public license": "lgpl",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under a creative commons attribution 4 0 international license": "cc-by",
-    "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
+    "licensed under the APACHE license version 2 0": "apache",
+    "you may not use this file except in compliance with the license": "apache",
+    "this work is licensed under the gnu GENERAL public license version 3": "gpl",
+    "this work is licensed under the gnu GENERAL public license version 2": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu GENERAL public license": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu LESSER general public license": "lgpl",
+    "under the terms of the gnu LESSER general public license": "lgpl",
+    "under the terms of the gnu AFFERO general public license": "agpl",
+    "you can redistribute it and or modify it under the terms of the gnu AFFERO general public license": "agpl",
+    "licensed under cc BY 4 0": "cc-by",
+    "licensed under cc BY SA 4 0": "cc-by-sa",
+    "licensed under cc BY ND 4 0": "cc-by-nd",
+    "licensed under cc BY NC 4 0": "cc-by-nc",
+    "licensed under cc BY NC SA 4 0": "cc-by-nc-sa",
+    "licensed under cc BY NC ND 4 0": "cc-by-nc-nd",
+    "licensed under a creative commons ATTRIBUTION 4 0 international license": "cc-by",
+    "licensed under a creative commons attribution SHAREALIKE 4 0 international license": "cc-by-sa",
+    "licensed under a creative commons attribution NODERIVATIVES 4 0 international license": "cc-by-nd",
+    "licensed under a creative commons attribution NONCOMMERCIAL 4 0 international license": "cc-by-nc",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
+    "subject to the terms of the MOZILLA public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "distributed under the BOOST software license version 1 0": "boost",
+    "made available under the terms of the ECLIPSE public license": "epl",
 }
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _GAPS = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -44,9 +62,10 @@ class NoticeFinder:
 
         self.notices, self.auto = [], ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
-        for i, (text, label) in enumerate((NOTICES if notices is None else notices).items()):
+        for i, (told, label) in enumerate((NOTICES if notices is None else notices).items()):
+            text, fixed = told.lower(), tuple(f" {w.lower()} " for w in told.split() if w.isupper())
             k = len(text) // chars_per_edit
-            self.notices.append((text, label, k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")))
+            self.notices.append((text, label, k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}"), fixed))
             cuts = [j * len(text) // (k + 1) for j in range(k + 2)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(text[s:e], []).append((i, s))
@@ -57,31 +76,53 @@ class NoticeFinder:
     def find(self, norm: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, label, edits, similarity) of the notices in normalised text, by start.
 
-        Windows of one notice that overlap are merged, so a text full of seeds is searched once.
+        Seeds that put a notice at about the same place share one window, a little longer than
+        the notice; of spans of one notice that overlap the one with the fewest edits counts, and
+        a span gives way to an overlapping one of another label with fewer edits.
         """
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, list[int]] = {}
         for end, (n, uses) in self.auto.iter(norm):
             for i, offset in uses:
-                text, _, k, _ = self.notices[i]
-                s = end - n + 1 - offset
-                lo, hi = max(0, s - k), min(len(norm), s + len(text) + k)
-                runs = windows.setdefault(i, [])
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][0], runs[-1][1], runs[-1][2] = min(runs[-1][0], lo), max(runs[-1][1], hi), runs[-1][2] + n
-                else:
-                    runs.append([lo, hi, n])
+                starts.setdefault(i, []).append(end - n + 1 - offset)
         found = []
-        for i, runs in windows.items():
-            text, label, _, pattern = self.notices[i]
-            for lo, hi, _ in runs:
-                todo = [(lo, hi)]
-                while todo:  # the best match of a part, then what stands on either side of it
-                    a, z = todo.pop()
-                    if (m := pattern.search(norm, a, z)) and m.end() > m.start():
-                        edits = sum(m.fuzzy_counts)
-                        found.append((m.start(), m.end(), label, edits, 1 - edits / len(text)))
-                        todo += [(a, m.start()), (m.end(), z)]
-        return sorted(found)
+        for i, seeds in starts.items():
+            text, label, k, pattern, fixed = self.notices[i]
+            seeds.sort()
+            mine, j = set(), 0
+            while j < len(seeds):
+                first = last = seeds[j]
+                while j < len(seeds) and seeds[j] <= first + 2 * k:
+                    last, j = seeds[j], j + 1
+                m = pattern.search(norm, max(0, first - k), max(0, min(len(norm), last + len(text) + k)))
+                if m and m.end() > m.start() and all(w in f" {norm[m.start() : m.end()]} " for w in fixed):
+                    mine.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            found += [(s, e, label, edits, 1 - edits / len(text)) for edits, s, e in _apart(mine)]
+        found.sort()
+        reach = [0]  # the furthest end so far, to know where spans that overlap may begin
+        for s in found:
+            reach.append(max(reach[-1], s[1]))
+        out = []
+        for j, (s, e, label, edits, similarity) in enumerate(found):
+            lo, hi = j, j
+            while lo > 0 and reach[lo] > s:
+                lo -= 1
+            while hi + 1 < len(found) and found[hi + 1][0] < e:
+                hi += 1
+            if not any(o[3] < edits and o[2] != label and o[0] < e and s < o[1] for o in found[lo : hi + 1]):
+                out.append((s, e, label, edits, similarity))
+        return out
+
+
+def _apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (edits, start, end) that don't overlap, those with few edits first."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for edits, s, e in sorted(spans):
+        at = bisect.bisect(kept, (s, e))
+        if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= e):
+            kept.insert(at, (s, e))
+            out.append((edits, s, e))
+    return out
 
 
 def scan_text(text: str | None, finder: NoticeFinder, phrases: dict[str, str]) -> tuple:
