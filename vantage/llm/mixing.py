@@ -3,9 +3,10 @@
 A document of a source with target ratio f is taken floor(f) times, and once more with
 probability frac(f). The extra copies are drawn by the cube method: inclusion probabilities move
 through the null space of the balance constraints (token and document totals) until all but two
-per block are 0 or 1; what is left over meets again in larger blocks, and only the last two
-documents of a source land on the nearest balance. Blocks bound the work of a task, so a source
-with a third of all rows is many blocks.
+per block are 0 or 1, long documents first; what is left over and the shortest documents meet
+again in larger blocks. In the last block of a source the two documents left over and the HELD
+shortest ones land together on the subset with the nearest totals. Blocks bound the work of a task, so a source with a third of all rows is many
+blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .common import Shelf, words_of
 
 #: Documents that one task balances at once; sources whose totals may come to the driver.
 BLOCK, MAX_SOURCES = 4_000, 1_000_000
+#: Short documents that take no part in the flight: of a block, which go on to the next level,
+#: and of a source's last block, which land.
+PASSED, HELD = 2, 10
 _EPS = 1e-9
 
 
@@ -70,21 +74,25 @@ def fly(x: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def land(x: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """Rounds the last fractional documents to the nearest total of x, then of documents."""
+    """Rounds the last fractional documents to the nearest total of x, then of documents, then to
+    the likeliest subset."""
     out, open_ = pi.copy(), np.flatnonzero((pi > 0) & (pi < 1))
     if len(open_):
-        want, count = float(x[open_] @ pi[open_]), float(pi[open_].sum())
-        picks = [[(k >> j) & 1 for j in range(len(open_))] for k in range(2 ** len(open_))]
-        out[open_] = min(picks, key=lambda s: (abs(float(x[open_] @ np.array(s)) - want), abs(sum(s) - count), s))
+        picks = (np.arange(2 ** len(open_))[:, None] >> np.arange(len(open_))) & 1
+        p = pi[open_]
+        odds = (picks * np.log(p) + (1 - picks) * np.log(1 - p)).sum(1)
+        order = np.lexsort((-odds, np.abs(picks.sum(1) - p.sum()).round(9), np.abs(picks @ x[open_] - x[open_] @ p).round(6)))
+        out[open_] = picks[order[0]]
     return out
 
 
 def _balance(seed: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        t = t.sort_by([("size", "descending"), ("h", "ascending"), ("doc_id", "ascending")])
         x, pi = t.column("size").to_numpy().astype(float), t.column("pi").to_numpy().copy()
         src, block, blocks = (t.column(c)[0].as_py() for c in ("src", "block", "blocks"))
-        pi = fly(x, pi, np.random.default_rng(xxhash.xxh3_64_intdigest(f"{seed}:{src}:{block}:{blocks}".encode())))
+        flown = max(0, len(x) - (HELD if blocks == 1 else PASSED))
+        pi[:flown] = fly(x[:flown], pi[:flown], np.random.default_rng(xxhash.xxh3_64_intdigest(f"{seed}:{src}:{block}:{blocks}".encode())))
         if blocks == 1:
             pi = land(x, pi)
         return t.set_column(t.column_names.index("pi"), "pi", pa.array(pi, pa.float64())).select(["doc_id", "src", "size", "h", "pi"])
