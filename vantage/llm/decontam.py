@@ -1,11 +1,16 @@
-"""Benchmark decontamination by longest common subsequence, with an exact filter before it.
-
-Documents are read as overlapping passages over the benchmark's vocabulary. A common subsequence
-holds no more words than the passage and the item share, so the words of an item that a passage
-has, counted by one product of passages x terms and terms x items, bound it from above. Pairs
-whose bound reaches the threshold are confirmed by longest common subsequence of words and by a
-check that the item's answer terms are there; no other pair could be. Benchmarks are searched in
-parts of a bounded number of items and words.
+"""Benchmark decontamination by latent semantic retrieval, confirmed by common subsequences.
+
+Documents are read as overlapping passages, weighted by TF-IDF over the benchmark's vocabulary. A
+basis comes from a distributed randomised SVD of passages, the items among them: tasks sketch
+their passages against a random matrix, once more against the orthonormal range found, and the
+small rest is solved on the driver. Passages and items are compared by cosine in that basis. What
+the basis leaves out of a passage and of an item bounds how far that cosine may be too low, so the
+threshold of a pair is one that no pair with the common subsequence sought can miss, whatever the
+rank. Candidates are confirmed by longest common subsequence of words and by a check that the
+item's answer terms are there.
+
+Benchmarks of any size are searched in rounds of a bounded number of characters, each one reading
+of the documents; within a round, items are searched in parts, each with a basis of its own.
 """
 
 from __future__ import annotations
@@ -18,13 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shelf, sampled
+
 #: Words of a passage and of a step for items of up to PASSAGE - STEP words, which stand whole in
 #: one; both double for longer items until that holds for them too.
 PASSAGE, STEP = 128, 64
-#: Benchmarks are broadcast, so their size is checked.
-MAX_ITEMS, MAX_TERMS = 50_000, 400_000
-#: Items and words of items that one part of a search holds; cells of a block of passages x terms.
-PART_ITEMS, PART_WORDS, CELLS = 512, 16_384, 2_000_000
+#: Items and words of items that a part holds, characters of items in a round (what is broadcast
+#: follows from them: a basis has at most PART_WORDS x (PART_ITEMS + SPARE) numbers), cells of a
+#: block of passages x terms.
+PART_ITEMS, PART_WORDS, ROUND_CHARS, CELLS = 224, 8_192, 300_000, 2_000_000
+#: Dimensions of the basis beyond the number of items, and documents that it is fitted on.
+SPARE, FIT_DOCS = 32, 2_000
+#: Weight of the items in the fit against the passages: so high that the basis holds nearly all of
+#: each item, and few pairs become candidates for what it leaves out.
+ITEM_SHARE = 1000.0
 _EDGE = b".,;:!?\"'()[]{}<>|*#%&$"
 
 
@@ -53,19 +65,30 @@ def masks(words: list[bytes]) -> dict[bytes, int]:
 
 @dataclass
 class Part:
-    """Items searched together by passages of ``factor`` times the least size: their ids, words and answer terms."""
+    """Items searched together by passages of ``factor`` times the least size.
+
+    ids, words (as terms of the part) and answer terms per item; the vocabulary's id, weight and
+    row in ``basis`` of each term; latent vectors, residual norms and least products of the items.
+    """
 
     factor: int
     ids: list[int]
-    words: list[list[bytes]]
-    answers: list[set[bytes]]
+    words: list[list[int]]
+    answers: list[set[int]]
+    terms: np.ndarray
+    weight: np.ndarray
+    basis: np.ndarray
+    latent: np.ndarray
+    rest: np.ndarray
+    least: np.ndarray
 
 
 def _doc_counts(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = vocabulary.value
-        counts = np.zeros(len(terms), np.int64)
+        counts = np.zeros(len(terms) + 1, np.int64)
         for b in batches:
+            counts[-1] += b.num_rows
             for t in b.column("text"):
                 for w in terms.keys() & set(tokens(t.as_py())):
                     counts[terms[w]] += 1
@@ -83,100 +106,221 @@ def factor_of(n: int) -> int:
     return factor
 
 
-def parts(items: list[tuple[int, list[bytes], set[bytes]]]) -> list[Part]:
-    out: list[Part] = []
-    held = 0
-    for k, words, answers in sorted(items, key=lambda x: (factor_of(len(x[1])), x[0])):
-        factor = factor_of(len(words))
-        if not out or out[-1].factor != factor or len(out[-1].ids) == PART_ITEMS or held + len(words) > PART_WORDS:
-            out.append(Part(factor, [], [], []))
-            held = 0
-        out[-1].ids.append(k)
-        out[-1].words.append(words)
-        out[-1].answers.append(answers)
-        held += len(words)
+def split(items: list[tuple[int, list[int], set[int]]]) -> list[list[tuple[int, list[int], set[int]]]]:
+    """Items in parts of one factor and a bounded size."""
+    out: list[list] = []
+    factor, held = 0, 0
+    for item in sorted(items, key=lambda x: (factor_of(len(x[1])), x[0])):
+        if not out or factor != factor_of(len(item[1])) or len(out[-1]) == PART_ITEMS or held + len(item[1]) > PART_WORDS:
+            out.append([])
+            factor, held = factor_of(len(item[1])), 0
+        out[-1].append(item)
+        held += len(item[1])
+    return out
+
+
+def passages_of(ids: np.ndarray, local: np.ndarray, factor: int) -> list[tuple[int, np.ndarray]]:
+    """(start, terms of the part) of a text's passages that have any."""
+    own, size, step, out = local[ids], PASSAGE * factor, STEP * factor, []
+    for start in range(0, max(1, len(own) - size + step), step):
+        some = own[start : start + size]
+        some = some[some >= 0]
+        if len(some):
+            out.append((start, some))
+    return out
+
+
+def weighted(rows: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """TF-IDF rows of passages; a term counts once."""
+    x = np.zeros((len(rows), len(weight)), np.float32)
+    if rows:
+        at = np.concatenate(rows)
+        x[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), at] = weight[at]
+    return x
+
+
+def _local(terms: np.ndarray, size: int) -> np.ndarray:
+    """Place of each vocabulary id among ``terms``, -1 if none; the last is for unknown words."""
+    out = np.full(size + 1, -1, np.int32)
+    out[terms] = np.arange(len(terms))
     return out
 
 
+def _ids(vocabulary: dict[bytes, int], text: str | None) -> np.ndarray:
+    words = tokens(text)
+    return np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
+
+
+def _sketch(shared):
+    """Per part and term the sum over passages p of p * (p . probe)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, jobs = shared.value
+        sums = [np.zeros(probe.shape, np.float32) for _, _, _, probe in jobs]
+        lookups, held = [_local(terms, len(vocabulary)) for terms, _, _, _ in jobs], [[] for _ in jobs]
+
+        def add(k: int) -> None:
+            x, probe = weighted(held[k], jobs[k][1]), jobs[k][3]
+            sums[k] += x.T @ (x @ probe)
+            held[k] = []
+
+        for b in batches:
+            for t in b.column("text"):
+                ids = _ids(vocabulary, t.as_py())
+                for k, (_, weight, factor, _) in enumerate(jobs):
+                    held[k] += [p for _, p in passages_of(ids, lookups[k], factor)]
+                    if len(held[k]) * len(weight) >= CELLS:
+                        add(k)
+        for k in range(len(jobs)):
+            add(k)
+        for k, total in enumerate(sums):
+            at = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array([total[i].tobytes() for i in at], pa.binary())], ["part", "term", "v"])
+
+    return run
+
+
+def _added(t: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(v.as_buffer(), np.float32) for v in t.column("v")], axis=0, dtype=np.float64).astype(np.float32)
+    return pa.table({"part": t.column("part")[:1], "term": t.column("term")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+
+def _range(sample: DataFrame, vocabulary: dict[bytes, int], jobs: list[tuple]) -> list[np.ndarray]:
+    """Of each job (terms, weight, factor, probe) the products of all passages with its probe."""
+    shared = sample.sparkSession.sparkContext.broadcast((vocabulary, jobs))
+    rows = sample.mapInArrow(_sketch(shared), "part int, term int, v binary").groupBy("part", "term").applyInArrow(_added, "part int, term int, v binary").collect()
+    shared.destroy()
+    out = [np.zeros(probe.shape) for _, _, _, probe in jobs]
+    for r in rows:
+        out[r.part][r.term] = np.frombuffer(r.v, np.float32)
+    return out
+
+
+def fitted(sample: DataFrame, vocabulary: dict[bytes, int], weight: np.ndarray, groups: list[list], needed: float) -> list[Part]:
+    """Parts with their bases: a randomised SVD with one power step over passages and items."""
+    jobs, vectors = [], []
+    for k, items in enumerate(groups):
+        terms = np.array(sorted({w for _, words, _ in items for w in words}))
+        place = {w: i for i, w in enumerate(terms.tolist())}
+        x = np.zeros((len(items), len(terms)))
+        for i, (_, words, _) in enumerate(items):
+            np.add.at(x[i], [place[w] for w in words], 1)
+        own = weight[terms]
+        vectors.append((place, x * own))
+        rank = min(len(terms), len(items) + SPARE)
+        jobs.append((terms, own.astype(np.float32), factor_of(len(items[0][1])), np.random.default_rng(k).standard_normal((len(terms), min(len(terms), rank + 8))).astype(np.float32)))
+
+    def power(probes: list[np.ndarray]) -> list[np.ndarray]:
+        """Products with the covariance of passages, the items weighing ITEM_SHARE times as much."""
+        seen = _range(sample, vocabulary, [(*job[:3], q.astype(np.float32)) for job, q in zip(jobs, probes, strict=True)])
+        out = []
+        for y, q, (_, x) in zip(seen, probes, vectors, strict=True):
+            own = x.T @ (x @ q)
+            size = np.linalg.norm(y)
+            out.append(y + own * (ITEM_SHARE * size / max(np.linalg.norm(own), 1e-9) if size else 1.0))
+        return out
+
+    first = [np.linalg.qr(y)[0] for y in power([job[3].astype(float) for job in jobs])]
+    parts = []
+    for q, y, (terms, own, factor, _), (place, x), items in zip(first, power(first), jobs, vectors, groups, strict=True):
+        small = q.T @ y
+        value, turn = np.linalg.eigh((small + small.T) / 2)
+        basis = (q @ turn[:, np.argsort(-value)][:, : len(items) + SPARE]).astype(np.float32)
+        latent = x @ basis
+        rest = np.sqrt(np.maximum((x**2).sum(1) - (latent**2).sum(1), 0))
+        words = [[place[w] for w in ws] for _, ws, _ in items]
+        least = [np.sort(own[ws].astype(float) ** 2)[: int(np.ceil(needed * len(ws) - 1e-9))].sum() for ws in words]
+        parts.append(Part(factor, [i for i, _, _ in items], words, [{place[w] for w in a} for _, _, a in items], terms, own, basis, latent.astype(np.float32), rest.astype(np.float32), np.array(least, np.float32)))
+    return parts
+
+
 class Searcher:
-    """Finds the items of a part in passages given as ids of its terms."""
+    """Finds the items of a part in passages given as terms of it."""
 
     def __init__(self, part: Part, sure: float, share: float, answer: float):
-        self.ids, self.step, self.passage = part.ids, STEP * part.factor, PASSAGE * part.factor
-        self.terms = {w: i for i, w in enumerate(sorted({w for words in part.words for w in words}))}
-        self.n = np.array([len(w) for w in part.words])
-        self.masks = [masks([self.terms[w] for w in words]) for words in part.words]
-        self.answers = [{self.terms[w] for w in a} for a in part.answers]
-        self.uses = np.zeros((len(self.terms), len(part.ids)), np.float32)
-        for k, words in enumerate(part.words):
-            np.add.at(self.uses[:, k], [self.terms[w] for w in words], 1)
-        self.sure, self.share, self.answer = sure, share, answer
-        self.least = np.minimum(sure, share) * self.n - 1e-3
-        self.block = max(1, CELLS // len(self.terms))
-
-    def find(self, passages: list[tuple[int, int, list[int]]]) -> Iterator[tuple[int, int, int, float]]:
-        """(doc, start, item id, overlap) of the passages (doc, start, term ids) that hold an item."""
+        self.part, self.sure, self.share, self.answer = part, sure, share, answer
+        self.masks = [masks(words) for words in part.words]
+        self.answers = [np.array(sorted(a)) for a in part.answers]
+        self.square = part.weight**2
+        self.norm = np.sqrt((part.latent.astype(float) ** 2).sum(1) + part.rest.astype(float) ** 2)
+        self.block = max(1, CELLS // len(part.terms))
+
+    def candidates(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs (passage, item) whose cosine reaches the item's least product, allowing for what
+        the basis leaves out of both and for rounding."""
+        size = (x * x).sum(1)
+        z = x @ self.part.basis
+        rest = np.sqrt(np.maximum(size - (z * z).sum(1), 0))
+        norms = np.sqrt(size)[:, None] * self.norm[None, :]
+        cosine = (z @ self.part.latent.T + rest[:, None] * self.part.rest[None, :]) / norms
+        return zip(*(k.tolist() for k in np.nonzero(cosine >= self.part.least[None, :] / norms - 1e-4)), strict=True)
+
+    def find(self, passages: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, int, float]]:
+        """(doc, start, item id, overlap) of the passages (doc, start, terms) that hold an item."""
         for i in range(0, len(passages), self.block):
             some = passages[i : i + self.block]
-            has = np.zeros((len(some), len(self.terms)), np.float32)
-            has[np.repeat(np.arange(len(some)), [len(own) for _, _, own in some]), np.concatenate([own for _, _, own in some])] = 1
-            bound = has @ self.uses
-            for r, k in zip(*(x.tolist() for x in np.nonzero(bound >= self.least)), strict=True):
+            x = weighted([own for _, _, own in some], self.part.weight)
+            for r, k in self.candidates(x):
                 doc, start, own = some[r]
-                n = len(self.answers[k])
-                known = sum(has[r, t] for t in self.answers[k]) >= self.answer * n
+                n = len(self.part.words[k])
+                known = (x[r, self.answers[k]] > 0).sum() >= self.answer * len(self.answers[k])
                 needed = min(self.share, self.sure) if known else self.sure
-                if bound[r, k] / self.n[k] >= needed - 1e-6 and (ratio := lcs(self.masks[k], int(self.n[k]), own) / int(self.n[k])) >= needed:
-                    yield doc, start, self.ids[k], ratio
+                shared = (x[r, self.part.words[k]] > 0).sum()  # bounds the common subsequence
+                if shared / n >= needed - 1e-6 and (ratio := lcs(self.masks[k], n, own.tolist()) / n) >= needed:
+                    yield doc, start, self.part.ids[k], ratio
 
 
 def _search(shared, sure: float, share: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Searcher(shared.value, sure, share, answer)
+        vocabulary, parts = shared.value
+        searchers = [(Searcher(p, sure, share, answer), _local(p.terms, len(vocabulary)), p.factor) for p in parts]
         for b in batches:
             out: list[tuple] = []
             for i in range(0, b.num_rows, 200):
-                passages = []
-                for d, t in zip(b.column("doc_id").slice(i, 200).to_pylist(), b.column("text").slice(i, 200), strict=True):
-                    words = tokens(t.as_py())
-                    known = [s.terms.get(w, -1) for w in words]
-                    for start in range(0, max(1, len(words) - s.passage + s.step), s.step):
-                        own = [k for k in known[start : start + s.passage] if k >= 0]
-                        if own:
-                            passages.append((d, start, own))
-                out.extend(s.find(passages))
+                texts = [(d, _ids(vocabulary, t.as_py())) for d, t in zip(b.column("doc_id").slice(i, 200).to_pylist(), b.column("text").slice(i, 200), strict=True)]
+                for s, local, factor in searchers:
+                    out.extend(s.find([(d, start, own) for d, ids in texts for start, own in passages_of(ids, local, factor)]))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], ["doc_id", "start", "item_id", "overlap"])
 
     return run
 
 
+_FOUND = "doc_id long, start int, item_id long, overlap double"
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, sure: float = 0.8, share: float = 0.6, answer: float = 0.6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start, item_id, overlap): passages of documents that hold a benchmark item.
 
     overlap is the common subsequence over the item's length: enough alone from ``sure`` on,
     from ``share`` on if the item's answer terms (its five rarest) are there too. Every passage
-    is searched for every item; passages are at least twice as long as the item. Null and empty texts and items, and rows with a null id, match
-    nothing. Repeated rows match alike.
+    is searched for every item; passages are at least twice as long as the item. The basis is
+    fitted on about FIT_DOCS documents; document counts are over all. Null and empty texts and
+    items, and rows with a null id, match nothing. Repeated rows match alike.
     """
-    spark = docs.sparkSession
+    spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "leaks")
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where("item_id is not null").dropDuplicates().limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items; search them in parts")
-    items = sorted((r.item_id, w) for r in rows if (w := tokens(r.text)))
-    vocabulary = sorted({w for _, words in items for w in words})
-    if len(vocabulary) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} benchmark terms; search the items in parts")
-    out = spark.createDataFrame([], "doc_id long, start int, item_id long, overlap double")
-    if not items:
-        return out
-    everything = {w: i for i, w in enumerate(vocabulary)}
-    df = dict(raw.mapInArrow(_doc_counts(spark.sparkContext.broadcast(everything)), "term int, n long").groupBy("term").agg(F.sum("n")).collect())
-    # Terms that no document has can't tell a leak, so they come last.
-    answers = [set(sorted(set(words), key=lambda w: (everything[w] not in df, df.get(everything[w], 0), w))[:5]) for _, words in items]
-    for part in parts([(k, words, a) for (k, words), a in zip(items, answers, strict=True)]):
-        out = out.union(raw.mapInArrow(_search(spark.sparkContext.broadcast(part), sure, share, answer), "doc_id long, start int, item_id long, overlap double"))
+    bench = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where("item_id is not null and text is not null").dropDuplicates()
+    rounds = -(-(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // ROUND_CHARS)
+    out, sample = spark.createDataFrame([], _FOUND), None
+    for k in range(rounds):
+        some = bench if rounds == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
+        items = sorted((r.item_id, w) for r in some.collect() if (w := tokens(r.text)))  # about ROUND_CHARS characters
+        vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
+        if not items:
+            continue
+        shared = spark.sparkContext.broadcast(vocabulary)
+        counts = dict(raw.mapInArrow(_doc_counts(shared), "term int, n long").groupBy("term").agg(F.sum("n")).collect())
+        shared.destroy()
+        n = counts.get(len(vocabulary), 0)
+        df = np.array([counts.get(i, 0) for i in range(len(vocabulary))])
+        if sample is None:
+            sample = shelf.put(raw.where(sampled("doc_id", FIT_DOCS, n)).select("text"))
+        # Terms that no document has can't tell a leak, so they come last.
+        rarest = lambda words: set(sorted(set(words), key=lambda w: (df[w] == 0, df[w], w))[:5])  # noqa: B023, E731
+        named = [(i, [vocabulary[w] for w in words]) for i, words in items]
+        parts = fitted(sample, vocabulary, 1 + np.log((1 + n) / (1 + df)), split([(i, words, rarest(words)) for i, words in named]), min(sure, share))
+        out = out.union(raw.mapInArrow(_search(spark.sparkContext.broadcast((vocabulary, parts)), sure, share, answer), _FOUND))
     return out
 
 
