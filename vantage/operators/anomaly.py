@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +63,70 @@ def prior_baseline(tracks: DataFrame, weights: AnomalyWeights = WEIGHTS) -> Data
     return base.join(nearest_corridor(tracks), "track_id")
 
 
+_SIDES = "track_id string, seq long, h double, below double, above double, pid int, note string"
+
+
+def _smaller(seq: list[int]) -> tuple[list[int], list[int]]:
+    """For each place the nearest place before it with a smaller number (-1 if none), and the
+    places that no later one undercuts: where such numbers are looked for from beyond the end."""
+    stack: list[int] = []
+    out = []
+    for i, x in enumerate(seq):
+        while stack and seq[stack[-1]] >= x:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
+        stack.append(i)
+    return out, stack
+
+
+def _beside(t: pa.Table) -> pa.Table:
+    """Headings next below and above among earlier tracks of one range of headings, and a note."""
+    t = t.sort_by([("h", "ascending"), ("seq", "ascending")])
+    seq, h = t.column("seq").to_pylist(), t.column("h").to_pylist()
+    n = len(seq)
+    below, left = _smaller(seq)
+    above, right = _smaller(seq[::-1])
+    above = [n - 1 - i if i >= 0 else -1 for i in reversed(above)]
+    pid = t.column("pid")[0].as_py()
+    note = json.dumps({"below": [(h[i], seq[i]) for i in left], "above": [(h[n - 1 - i], seq[n - 1 - i]) for i in right]})
+    pick = lambda at: pa.array([h[i] if i >= 0 else None for i in at], pa.float64())
+    rows = pa.table([t.column("track_id"), t.column("seq"), t.column("h"), pick(below), pick(above), t.column("pid"), pa.nulls(n, pa.string())], [c.split()[0] for c in _SIDES.split(", ")])
+    last = pa.table({f.name: pa.array([{"pid": pid, "note": note}.get(f.name)], f.type) for f in rows.schema})
+    return pa.concat_tables([rows.combine_chunks(), last])
+
+
+def _round_trip(notes: dict[int, list], turn: float) -> dict[int, list]:
+    """By range what stands before it on the circle: headings, nearest first, with falling
+    numbers. ``turn`` is added to headings of ranges that lie a turn away."""
+    order, out, came = sorted(notes, reverse=turn > 0), {}, []
+    for lap in (1, 0):
+        for pid in order:
+            out[pid] = came
+            own = [(h + turn * lap, s) for h, s in reversed(notes[pid])]
+            low = min((s for _, s in own), default=None)
+            came = own + [x for x in came if low is None or x[1] < low]
+        if lap:
+            came = [x for x in came]
+    return out
+
+
 def nearest_corridor(tracks: DataFrame) -> DataFrame:
-    """(track_id, nearest_corridor) to the exact headings of all earlier tracks.
+    """(track_id, nearest_corridor): smallest turn to a heading of an earlier track, null for the first.
 
-    Tracks against tracks: one row per session and three numbers each, partial minima per task.
+    In the order of headings, that heading is the nearest place on either side with a smaller
+    ``seq``. Each range of headings finds them with a stack; what a range can't tell is looked up
+    among the places of other ranges that nothing nearer undercuts, some log n per range.
     """
-    q, r = (tracks.select(F.col("track_id").alias(f"{p}_id"), F.col("seq").alias(f"{p}_seq"), F.col("heading_deg").alias(f"{p}_h")) for p in "qr")
-    both = q.join(r, F.col("r_seq") < F.col("q_seq"), "left").groupBy("q_id").agg(F.min(circular_diff_deg(F.col("q_h"), F.col("r_h"))).alias("nearest_corridor"))
-    return both.withColumnRenamed("q_id", "track_id")
+    rows = tracks.select("track_id", F.col("seq").cast("long").alias("seq"), F.col("heading_deg").alias("h")).where("h is not null")
+    ranged = rows.repartitionByRange("h", "seq").withColumn("pid", F.spark_partition_id())
+    solved = ranged.groupBy("pid").applyInArrow(_beside, _SIDES).persist()
+    notes = {r.pid: json.loads(r.note) for r in solved.where("note is not null").select("pid", "note").collect()}  # one row per range
+    below, above = (_round_trip({k: x[side] for k, x in notes.items()}, turn) for side, turn in (("below", -360.0), ("above", 360.0)))
+    stair = "array<struct<h:double,seq:long>>"
+    near = F.broadcast(tracks.sparkSession.createDataFrame([(k, below[k], above[k]) for k in sorted(notes)], f"pid int, b {stair}, a {stair}"))
+    first = lambda side, stairs: F.coalesce(F.col(side), F.get(F.filter(stairs, lambda e: e["seq"] < F.col("seq")), 0)["h"])
+    out = solved.where("note is null").join(near, "pid").select("track_id", F.least(F.col("h") - first("below", "b"), first("above", "a") - F.col("h")).alias("nearest_corridor"))
+    return tracks.select("track_id").join(out, "track_id", "left")
 
 
 def leave_one_out(tracks: DataFrame, least: int = 6) -> DataFrame:

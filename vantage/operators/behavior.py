@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..functions.geo import circular_diff_deg, flat_bearing_deg, flat_distance_m
+from ..functions.geo import circular_diff_deg, ecef, flat_bearing_deg, flat_distance_m
 from .tracks import recent
 
 BADGES = {"holding": "HOLD", "grid": "GRID", "goaround": "G/A", "formation": "FORM"}
@@ -62,25 +62,26 @@ def survey_grid(points: DataFrame, now: Column) -> DataFrame:
     return by.withColumn("legs", legs).where(F.size("legs") >= 4).where(F.size(turns) >= 3).select("entity_id")
 
 
-def formation_pairs(points: DataFrame, now: Column, cell_m: float = 1_000.0) -> DataFrame:
+def formation_pairs(points: DataFrame, now: Column, cell_m: float = 1_100.0) -> DataFrame:
     """(a, b) of fresh moving entities that fly alike within 1 km now and 1.2 km half a minute ago.
 
-    Latest positions meet by grid cell and its neighbours, so that only those nearby are paired.
+    Latest positions meet by cells of their place on the ellipsoid (earth-centred x, y, z) and the
+    cells around, so that only those nearby are paired, at any latitude. Cells are a tenth wider
+    than the distance, which covers what flat distances differ from those.
     """
-    lat_cell = cell_m / 111_132.0
     latest = points.groupBy("entity_id").agg(F.max(F.struct("ts", "obs_id", "lat", "lon", "alt_m", "speed_mps", "track_deg")).alias("p"))
     before = points.where(F.unix_micros("ts") <= F.unix_micros(now) - 30_000_000).groupBy("entity_id").agg(F.max(F.struct("ts", "obs_id", "lat", "lon")).alias("q"))
     fresh = latest.where((F.unix_micros(now) - F.unix_micros("p.ts") < 30_000_000) & (F.col("p.speed_mps") > 30)).join(before, "entity_id", "left")
-    # Cells are narrower in degrees of longitude near the equator, so its width suits the least latitude.
-    cells = fresh.withColumns({"cy": F.floor(F.col("p.lat") / lat_cell).cast("int"), "cx": F.floor(F.col("p.lon") * F.cos(F.radians(F.floor(F.col("p.lat")))) / lat_cell).cast("int")})
-    around = lambda c, n: F.explode(F.sequence(F.col(c) - n, F.col(c) + n)).alias(c)
-    a = cells.select(F.struct("entity_id", "p", "q").alias("a"), "cy", "cx")
-    b = cells.select(F.struct("entity_id", "p", "q").alias("b"), around("cy", 1), "cx").select("b", "cy", around("cx", 2))
+    at = fresh.withColumn("at", ecef(F.col("p.lat"), F.col("p.lon"), F.lit(0.0)))
+    cells = at.select(F.struct("entity_id", "p", "q").alias("e"), *[F.floor(F.col(f"at.{k}") / cell_m).cast("int").alias(f"c{k}") for k in "xyz"])
+    around = lambda k: F.explode(F.sequence(F.col(f"c{k}") - 1, F.col(f"c{k}") + 1)).alias(f"c{k}")
+    a = cells.select(F.col("e").alias("a"), "cx", "cy", "cz")
+    b = cells.select(F.col("e").alias("b"), around("x"), "cy", "cz").select("b", "cx", around("y"), "cz").select("b", "cx", "cy", around("z"))
     p, q = F.col("a.p"), F.col("b.p")
     near = flat_distance_m(p["lat"], p["lon"], q["lat"], q["lon"]) <= 1000
     was = flat_distance_m(F.col("a.q.lat"), F.col("a.q.lon"), F.col("b.q.lat"), F.col("b.q.lon")) > 1200
     alike = (circular_diff_deg(p["track_deg"], q["track_deg"]) <= 15) & (F.abs(p["speed_mps"] - q["speed_mps"]) / F.greatest(p["speed_mps"], q["speed_mps"]) <= 0.15) & (F.abs(p["alt_m"] - q["alt_m"]) <= 600)
-    pairs = a.join(b, ["cy", "cx"]).where((F.col("a.entity_id") < F.col("b.entity_id")) & near & alike & ~F.coalesce(was, F.lit(False)))
+    pairs = a.join(b, ["cx", "cy", "cz"]).where((F.col("a.entity_id") < F.col("b.entity_id")) & near & alike & ~F.coalesce(was, F.lit(False)))
     return pairs.select(F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"))
 
 

@@ -35,21 +35,30 @@ def latest_states(points: DataFrame, now: Column, fresh_seconds: int = FRESH_S)
     return last.select("entity_id", position_enu(F.col("azimuth_deg"), F.col("elevation_deg"), F.col("range_m")).alias("p"), velocity_enu(F.col("speed_mps"), F.col("track_deg"), F.col("vertical_rate_mps")).alias("v"), "speed_mps")
 
 
-def conflicts(states: DataFrame, horizon: float = HORIZON_S, top_speed: float = 340.0) -> DataFrame:
+def conflicts(states: DataFrame, horizon: float = HORIZON_S, slice_s: float = 5.0) -> DataFrame:
     """(a, b, t, dh, dv) of pairs that come too close within the horizon, soonest first.
 
-    Two states can only meet if they are within 2 * top_speed * horizon + H_LIMIT_M, so they are
-    paired by grid cells of that size and their neighbours; the fastest entity widens the cells
-    if it beats ``top_speed``.
+    Pairs that do are less than H_LIMIT_M apart, on the ground, at the moment t of their closest
+    approach. So each state goes, slice by slice of the horizon, into the cells that its own
+    straight path crosses, one side's also into the cells around; they meet by slice and cell.
+    A fast state passes more cells and widens nobody else's, and only those nearby at one time
+    are paired.
     """
-    fastest = F.greatest(F.coalesce(F.max("speed_mps"), F.lit(0.0)), F.lit(top_speed))
-    reach = states.agg((2 * fastest * horizon + H_LIMIT_M).alias("reach"))
-    cells = states.crossJoin(F.broadcast(reach)).withColumns({"cx": F.floor(F.col("p.e") / F.col("reach")), "cy": F.floor(F.col("p.n") / F.col("reach"))})  # one row
-    a = cells.select(F.col("entity_id").alias("a"), F.col("p").alias("pa"), F.col("v").alias("va"), "cx", "cy")
-    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
-    b = cells.select(F.col("entity_id").alias("b"), F.col("p").alias("pb"), F.col("v").alias("vb"), near("cx"), "cy").select("b", "pb", "vb", "cx", near("cy"))
-    met = a.join(b, ["cx", "cy"]).where("a < b").select("a", "b", cpa(F.col("pa"), F.col("va"), F.col("pb"), F.col("vb"), horizon).alias("c")).select("a", "b", "c.*")
-    return met.where((F.col("dh") < H_LIMIT_M) & (F.col("dv") < V_LIMIT_M)).orderBy("t", "a", "b")
+    slices = F.explode(F.sequence(F.lit(0), F.lit(int(horizon / slice_s)))).alias("slice")
+    cut = states.select("entity_id", "p", "v", slices)
+
+    def span(axis: str) -> tuple[Column, Column]:
+        ends = [F.col(f"p.{axis}") + F.col(f"v.{axis}") * F.least((F.col("slice") + k) * slice_s, F.lit(horizon)) for k in (0, 1)]
+        return F.least(*ends), F.greatest(*ends)
+
+    def cells(name: str, margin: float) -> DataFrame:
+        ranges = [F.explode(F.sequence(F.floor((lo - margin) / H_LIMIT_M), F.floor((hi + margin) / H_LIMIT_M))) for lo, hi in (span("e"), span("n"))]
+        first = cut.select(F.col("entity_id").alias(name), F.col("p").alias(f"p{name}"), F.col("v").alias(f"v{name}"), "slice", "p", "v", ranges[0].alias("cx"))
+        return first.select(name, f"p{name}", f"v{name}", "slice", "cx", ranges[1].alias("cy"))
+
+    met = cells("a", 0.0).join(cells("b", H_LIMIT_M), ["slice", "cx", "cy"]).where("a < b")
+    c = met.select("a", "b", cpa(F.col("pa"), F.col("va"), F.col("pb"), F.col("vb"), horizon).alias("c")).select("a", "b", "c.*")
+    return c.where((F.col("dh") < H_LIMIT_M) & (F.col("dv") < V_LIMIT_M)).dropDuplicates(["a", "b"]).orderBy("t", "a", "b")
 
 
 def heading_rate(points: DataFrame, now: Column, seconds: float = 90.0) -> DataFrame:

@@ -15,8 +15,10 @@ def stitch(obs: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """Adds segment, track_id and the filled callsign: one shuffle by entity for all windows.
 
     A new segment starts where whole elapsed seconds exceed the gap; segments count from 0 per
-    entity. A segment's callsign is the entity's first non-empty one up to the segment's end.
+    entity. A segment's callsign is the entity's first non-empty one up to the segment's end. Where
+    rows tell their entity type, those of aircraft alone are stitched.
     """
+    obs = obs.where("entity_type = 'aircraft'") if "entity_type" in obs.columns else obs
     by = Window.partitionBy("entity_id").orderBy(*_ORDER)
     gap = F.expr("timestampdiff(SECOND, _prev, ts)") > gap_seconds
     out = obs.withColumn("_prev", F.lag("ts").over(by))

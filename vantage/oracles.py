@@ -86,6 +86,28 @@ _AZEL = """, s3 AS (SELECT *, radians(gmst-79.6877e0-ra) AS h, radians(43.4675e0
 SELECT event_id, fmod(round(fmod(degrees(atan2(-sin(h),tan(de)*cos(phi)-sin(phi)*cos(h)))+360,360),4),360) AS az, round(degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(h))),4)+0.0 AS el FROM s3"""
 
 
+_PLANT = f"""{_SNAP},
+pics AS (SELECT obs_id, entity_id, ts, lat, lon, alt_m, speed_mps, track_deg FROM snap
+  UNION ALL SELECT obs_id+1000000000, entity_id || 'w', ts, lat+0.002e0, lon, alt_m, speed_mps, track_deg FROM snap
+  UNION ALL SELECT 2000000000+i*50+k, 'g' || user_id, {_NOW} - to_seconds((49-k)*10), user_id%1600*0.05e0-40+0.004e0*CASE WHEN user_id%3=0 THEN k ELSE k//10 END,
+    CASE WHEN user_id%3=0 THEN -79e0 ELSE -79+0.003e0*CASE WHEN (k//10)%2=0 THEN k%10 ELSE 9-k%10 END END, 1000e0, 60e0, 0e0 FROM (SELECT user_id, min(event_id) AS i FROM events GROUP BY 1), range(50) r(k))"""
+_PST = f"""{_PLANT}, st AS (SELECT *, {_flat('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS d, {_bearing('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS b FROM pics WHERE ts >= {_NOW} - to_seconds(SPAN) WINDOW w AS (PARTITION BY entity_id ORDER BY ts, obs_id))"""
+_DIFF = lambda a, b: f"least(fmod({a}-({b})+720,360),360-fmod({a}-({b})+720,360))"
+_HELD = "SELECT entity_id FROM st GROUP BY 1 HAVING count(*)>=8 AND sum(d)>=4000 AND " + _flat("arg_min(lat,(ts,obs_id))", "arg_min(lon,(ts,obs_id))", "arg_max(lat,(ts,obs_id))", "arg_max(lon,(ts,obs_id))") + "/sum(d)<0.25"
+_AROUND = "i AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts, obs_id) AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM st), m AS (SELECT entity_id, min(alt_m) AS lo, arg_min(i,(alt_m,i)) AS mi FROM i GROUP BY 1) SELECT entity_id FROM i JOIN m USING (entity_id) GROUP BY entity_id, lo, mi, n HAVING n>=10 AND lo<=600 AND mi>1 AND mi-1<n-3 AND max(CASE WHEN i<mi THEN alt_m END)-lo>=150 AND max(CASE WHEN i>=mi THEN alt_m END)-lo>=200"
+_FORM = f"""l AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, obs_id DESC) AS k FROM fp), f AS (SELECT * FROM l WHERE k=1 AND date_sub('microsecond', ts, {_NOW})<30000000 AND speed_mps>30),
+  o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, obs_id DESC) AS k2 FROM fp WHERE ts<={_NOW}-to_seconds(30)), h AS (SELECT f.*, o.lat AS qlat, o.lon AS qlon FROM f LEFT JOIN o ON f.entity_id=o.entity_id AND k2=1),
+  fm AS (SELECT a.entity_id AS a, b.entity_id AS b FROM h a JOIN h b ON a.entity_id<b.entity_id WHERE {_DIFF('a.track_deg', 'b.track_deg')}<=15 AND abs(a.speed_mps-b.speed_mps)/greatest(a.speed_mps,b.speed_mps)<=0.15 AND abs(a.alt_m-b.alt_m)<=600
+  AND {_flat('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=1000 AND NOT coalesce({_flat('a.qlat', 'a.qlon', 'b.qlat', 'b.qlon')}>1200, false))"""
+#: Legs go on while a bearing stays within 25 degrees of their running mean: one step of each entity per round.
+_LEGS = f"""es AS (SELECT entity_id, b, d, row_number() OVER (PARTITION BY entity_id ORDER BY ts, obs_id) AS k FROM st WHERE d>=15 AND entity_id IN (SELECT entity_id FROM st GROUP BY 1 HAVING count(*)>=24)),
+  fold AS (SELECT entity_id, 1 AS k, sin(radians(b)) AS s, cos(radians(b)) AS c, 1 AS n, d AS len, CAST([] AS DOUBLE[]) AS legs FROM es WHERE k=1
+    UNION ALL SELECT e.entity_id, e.k, CASE WHEN on_ THEN f.s ELSE 0 END+sin(radians(e.b)), CASE WHEN on_ THEN f.c ELSE 0 END+cos(radians(e.b)), CASE WHEN on_ THEN f.n ELSE 0 END+1, CASE WHEN on_ THEN f.len ELSE 0 END+e.d,
+    CASE WHEN NOT on_ AND f.n>=4 AND f.len>=800 THEN list_append(f.legs, mean) ELSE f.legs END FROM (SELECT *, fmod(degrees(atan2(s,c))+360,360) AS mean FROM fold) f JOIN es e ON e.entity_id=f.entity_id AND e.k=f.k+1, LATERAL (SELECT {_DIFF('e.b', 'f.mean')}<25 AS on_) z),
+  done AS (SELECT entity_id, CASE WHEN n>=4 AND len>=800 THEN list_append(legs, fmod(degrees(atan2(s,c))+360,360)) ELSE legs END AS legs FROM fold QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC)=1),
+  gr AS (SELECT entity_id FROM done WHERE len(legs)>=4 AND len(list_filter(range(2, len(legs)+1), lambda x: {_DIFF('legs[x]', 'legs[x-1]')}>155))>=3)"""
+
+
 def _with(ctes: str, sql: str) -> str:
     return f"WITH {ctes.strip()} {sql}"
 
@@ -118,7 +140,7 @@ ORACLES = {
         SELECT obs_id, round(CASE WHEN n=1 THEN v1 ELSE v END,4)+0.0 AS derived_speed_mps, fmod(round(CASE WHEN n=1 THEN h1 ELSE h END,4),360) AS derived_track_deg, round(CASE WHEN n=1 THEN r1 ELSE r END,6)+0.0 AS derived_vrate_mps FROM m2"""),
     "overhead_candidates": _with(_TRK, "SELECT track_id, entity_id, round(min_range_m,4)+0.0 AS min_range_m, round(max_elevation_deg,6)+0.0 AS max_elevation_deg FROM trk WHERE overhead"),
     "window_activity": _with(_TRK, ", lo AS (SELECT min(started) + INTERVAL 10 DAY AS a FROM trk) SELECT entity_id, track_id FROM trk, lo WHERE floor(epoch_us(started)/1e6)<=floor(epoch_us(a)/1e6)+21600 AND floor(epoch_us(ended)/1e6)>=floor(epoch_us(a)/1e6)"),
-    "hour_windows": _with(_TRK, "SELECT track_id, 'window:' || strftime(h, '%Y-%m-%dT%H') AS window_id FROM (SELECT track_id, unnest(generate_series(date_trunc('hour', started), ended, INTERVAL 1 HOUR)) AS h FROM trk WHERE n_points<=40)"),
+    "hour_windows": _with(_TRK, "SELECT track_id, 'window:' || strftime(h, '%Y-%m-%dT%H') AS window_id FROM (SELECT track_id, unnest(generate_series(date_trunc('hour', started), ended, INTERVAL 1 HOUR)) AS h FROM trk)"),
     "weather_overlap": _with(_WXT, "SELECT track_id, window_id FROM trk JOIN wx ON wx.start<trk.ended AND wx.\"end\">trk.started"),
     "weather_islands": _with(_WX, ", r AS (SELECT *, sum(CASE WHEN condition IN ('clear','cloudy') THEN 1 ELSE 0 END) OVER (ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM wx) SELECT arg_min(condition, start) AS condition, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n_windows FROM r WHERE condition NOT IN ('clear','cloudy') GROUP BY run"),
     "hourly_counts": _with(_OBS, "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(DISTINCT entity_id) AS entities FROM obs GROUP BY 1"),
@@ -130,10 +152,6 @@ ORACLES = {
     "track_novelty": _with(_NOV, "SELECT track_id, round(novelty,3)+0.0 AS novelty FROM nov"),
     "holding": _with(_hold(360), "SELECT entity_id FROM st GROUP BY 1 HAVING count(*)>=8 AND sum(d)>=4000 AND " + _flat("arg_min(lat,(ts,obs_id))", "arg_min(lon,(ts,obs_id))", "arg_max(lat,(ts,obs_id))", "arg_max(lon,(ts,obs_id))") + "/sum(d)<0.25"),
     "go_around": _with(_hold(600), ", i AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts, obs_id) AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM st), m AS (SELECT entity_id, min(alt_m) AS lo, arg_min(i,(alt_m,i)) AS mi FROM i GROUP BY 1) SELECT entity_id FROM i JOIN m USING (entity_id) GROUP BY entity_id, lo, mi, n HAVING n>=10 AND lo<=600 AND mi>1 AND mi-1<n-3 AND max(CASE WHEN i<mi THEN alt_m END)-lo>=150 AND max(CASE WHEN i>=mi THEN alt_m END)-lo>=200"),
-    "formation_pairs": _with(_SNAP, f""", l AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, obs_id DESC) AS k FROM snap), f AS (SELECT * FROM l WHERE k=1 AND date_sub('microsecond', ts, {_NOW})<30000000 AND speed_mps>30),
-        o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, obs_id DESC) AS k2 FROM snap WHERE ts<={_NOW}-to_seconds(30)), h AS (SELECT f.*, o.lat AS qlat, o.lon AS qlon FROM f LEFT JOIN o ON f.entity_id=o.entity_id AND k2=1)
-        SELECT a.entity_id AS a, b.entity_id AS b FROM h a JOIN h b ON a.entity_id<b.entity_id WHERE least(fmod(a.track_deg-b.track_deg+360,360),360-fmod(a.track_deg-b.track_deg+360,360))<=15 AND abs(a.speed_mps-b.speed_mps)/greatest(a.speed_mps,b.speed_mps)<=0.15 AND abs(a.alt_m-b.alt_m)<=600
-        AND {_flat('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=1000 AND NOT coalesce({_flat('a.qlat', 'a.qlon', 'b.qlat', 'b.qlon')}>1200, false)"""),
     "heading_rate": _with(_hold(90), ", a AS (SELECT *, lag(b) OVER (PARTITION BY entity_id ORDER BY ts, obs_id) AS pb FROM st WHERE d>30 AND dt>0), r AS (SELECT entity_id, avg((fmod(b-pb+540,360)-180)/dt) AS r FROM a GROUP BY 1) SELECT e.entity_id, round(coalesce(r,0),4)+0.0 AS rate_deg_s FROM (SELECT DISTINCT entity_id FROM snap) e LEFT JOIN r ON e.entity_id=r.entity_id"),
     "conflict_pairs": _with(_SNAP, f""", l AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, obs_id DESC) AS k FROM snap), s AS (SELECT entity_id, east, north, up, speed_mps*sin(radians(track_deg)) AS ve, speed_mps*cos(radians(track_deg)) AS vn, vertical_rate_mps AS vu FROM l WHERE k=1 AND date_sub('microsecond', ts, {_NOW})<=30000000),
         p AS (SELECT a.entity_id AS a, b.entity_id AS b, b.east-a.east AS px, b.north-a.north AS py, b.up-a.up AS pz, b.ve-a.ve AS vx, b.vn-a.vn AS vy, b.vu-a.vu AS vz FROM s a JOIN s b ON a.entity_id<b.entity_id), q AS (SELECT *, vx*vx+vy*vy+vz*vz AS v2 FROM p), cc AS (SELECT *, CASE WHEN v2<1e-9 THEN 0 ELSE greatest(least(-(px*vx+py*vy+pz*vz)/v2,90),0) END AS t FROM q),
@@ -154,5 +172,28 @@ ORACLES = {
         SELECT 'observer:oakville_node' AS id, 'Observer' AS label UNION ALL SELECT 'weather:' || strftime(h,'%Y-%m-%dT%H'), 'WeatherCell' FROM w0 UNION ALL SELECT DISTINCT 'window:' || strftime(h,'%Y-%m-%dT%H'), 'TimeWindow' FROM (SELECT h FROM w0 UNION SELECT h FROM th)
         UNION ALL SELECT DISTINCT 'aircraft:' || entity_id, 'Aircraft' FROM trk UNION ALL SELECT track_id, 'Track' FROM trk UNION ALL SELECT 'obs:' || track_id || ':' || r, 'Observation' FROM trk, (VALUES ('first'),('closest_approach'),('last')) v(r) UNION ALL SELECT 'anomaly:' || track_id, 'Anomaly' FROM sc WHERE score>0.30"""),
 }
+ORACLES["formation_pairs"] = f"WITH {_PLANT.strip()}, fp AS (SELECT * FROM pics WHERE entity_id LIKE 'u%'), {_FORM} SELECT a, b FROM fm"
+ORACLES["survey_grid"] = f"WITH RECURSIVE {_PST.replace('SPAN', '1200').strip()}, {_LEGS} SELECT entity_id FROM gr"
+ORACLES["behavior_badges"] = f"""WITH RECURSIVE {_PST.replace('SPAN', '1200').strip()}, {_LEGS}, fp AS (SELECT * FROM pics), {_FORM},
+  ho AS (WITH st AS (SELECT * REPLACE (CASE WHEN lag(ts) OVER w >= {_NOW}-to_seconds(360) THEN d END AS d) FROM st WINDOW w AS (PARTITION BY entity_id ORDER BY ts, obs_id) QUALIFY ts >= {_NOW}-to_seconds(360)) {_HELD}),
+  ga AS (WITH st AS (SELECT * FROM (SELECT * FROM pics WHERE ts >= {_NOW}-to_seconds(600))), {_AROUND}),
+  flags AS (SELECT entity_id, entity_id IN (SELECT entity_id FROM ho) AS holding, entity_id IN (SELECT entity_id FROM gr) AND entity_id NOT IN (SELECT entity_id FROM ho) AS grid, entity_id IN (SELECT entity_id FROM ga) AS goaround, entity_id IN (SELECT a FROM fm UNION SELECT b FROM fm) AS formation FROM (SELECT DISTINCT entity_id FROM pics))
+  SELECT entity_id, concat_ws(',', CASE WHEN holding THEN 'holding' END, CASE WHEN grid THEN 'grid' END, CASE WHEN goaround THEN 'goaround' END, CASE WHEN formation THEN 'formation' END) AS behaviors,
+  concat_ws('·', CASE WHEN holding THEN 'HOLD' END, CASE WHEN grid THEN 'GRID' END, CASE WHEN goaround THEN 'G/A' END, CASE WHEN formation THEN 'FORM' END) AS badges FROM flags"""
+ORACLES["predicted_paths"] = _with(_OBS, """, k AS (SELECT obs_id, k, lat, lon, alt_m, speed_mps, vertical_rate_mps, radians(track_deg+0.5e0*5*(k+1)) AS h FROM obs, range(18) r(k)),
+  la AS (SELECT *, lat+sum(speed_mps*5*cos(h)/111132e0) OVER w AS la FROM k WINDOW w AS (PARTITION BY obs_id ORDER BY k))
+  SELECT obs_id, CAST(k AS INT) AS k, round(la,7)+0.0 AS lat, round(lon+sum(speed_mps*5*sin(h)/(111320e0*cos(radians(la)))) OVER w,7)+0.0 AS lon, round(alt_m+vertical_rate_mps*5*(k+1),3)+0.0 AS alt_m FROM la WINDOW w AS (PARTITION BY obs_id ORDER BY k)""")
+ORACLES["greedy_keep"] = """WITH RECURSIVE o AS (SELECT 'u' || user_id AS entity_id, event_id AS obs_id, epoch_us(ts)/1e6/86400 AS t FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY t, obs_id) AS k FROM o),
+  f AS (SELECT entity_id, k, obs_id, t AS last, true AS kept FROM n WHERE k=1 UNION ALL SELECT n.entity_id, n.k, n.obs_id, CASE WHEN n.t>f.last+0.5 THEN n.t ELSE f.last END, n.t>f.last+0.5 FROM f JOIN n ON n.entity_id=f.entity_id AND n.k=f.k+1)
+  SELECT entity_id, count(*) AS n_kept, max(obs_id) AS last_id FROM f WHERE kept GROUP BY 1"""
+_EDGES = """, wh AS (SELECT window_id, strftime(start, '%Y-%m-%dT%H') AS h FROM wx), th AS (SELECT track_id, strftime(unnest(generate_series(date_trunc('hour', started), ended, INTERVAL 1 HOUR)), '%Y-%m-%dT%H') AS h FROM emb),
+  odd AS (SELECT track_id FROM sc WHERE score>0.30), fd AS (SELECT a.track_id AS a, b.track_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.v,b.v), lambda x: power(CAST(x[1] AS DOUBLE)-CAST(x[2] AS DOUBLE),2)))),9) AS d FROM emb a JOIN emb b ON a.track_id<>b.track_id),
+  n1 AS (SELECT a, b, d FROM fd QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b)=1), pr AS (SELECT DISTINCT least(a,b) AS a, greatest(a,b) AS b, min(d) AS d FROM n1 GROUP BY 1,2 ORDER BY d, a, b LIMIT 5),
+  e AS (SELECT window_id AS src, 'window' AS dst, 'during' AS type FROM wh UNION ALL SELECT 'obs:' || track_id || ':' || r, 'track', 'part_of_track' FROM emb, (VALUES ('first'),('closest_approach'),('last')) v(r) UNION ALL SELECT track_id, 'aircraft', 'part_of_track' FROM emb
+  UNION ALL SELECT track_id, 'observer', 'observed_by' FROM emb UNION ALL SELECT track_id, 'observer', 'near' FROM emb WHERE min_range_m<10000 UNION ALL SELECT track_id, 'window', 'during' FROM th
+  UNION ALL SELECT track_id, 'weather', 'correlated_with' FROM emb JOIN wx ON wx.start<emb.ended AND wx."end">emb.started UNION ALL SELECT a, 'track', 'similar_to' FROM pr UNION ALL SELECT track_id, 'anomaly', 'correlated_with' FROM odd
+  UNION ALL SELECT 'anomaly:' || o.track_id, 'track', 'anomalous_relative_to' FROM odd o WHERE EXISTS (SELECT 1 FROM d1 WHERE d1.track_id=o.track_id AND k=1))"""
+ORACLES["graph_edges"] = f"WITH {_SCORE.strip()}{_WX.replace(_OBS, '')}{_EDGES} SELECT type, dst AS \"to\", count(*) AS n, count(DISTINCT src) AS sources FROM e GROUP BY 1, 2"
 ORACLES["novelty_vectors"] = "WITH k AS (" + ORACLES["knn_top3"].replace("round(d,5)+0.0 AS distance", "d AS distance") + ") SELECT vec_id, round(least(avg(distance)/1.2e0,1),5)+0.0 AS novelty FROM k GROUP BY 1"
 ORACLES["similar_pairs"] = "WITH k AS (" + ORACLES["knn_top3"].replace("round(d,5)+0.0 AS distance", "d AS distance") + ") SELECT least(vec_id,neighbour) AS a, greatest(vec_id,neighbour) AS b, round(min(distance),5)+0.0 AS distance FROM k WHERE rank=1 GROUP BY 1,2"

@@ -232,16 +232,33 @@ def go_around(spark, d):
     return behavior.go_around(snapshot(spark, d, 1), now(None))
 
 
+def planted(spark, d) -> DataFrame:
+    """The snapshot with company: a wingman beside every entity, and for every entity a survey
+    flight of five legs or, of every third entity, a straight line."""
+    p = snapshot(spark, d, 1)
+    wing = p.withColumns({"entity_id": F.concat("entity_id", F.lit("w")), "obs_id": F.col("obs_id") + 1_000_000_000, "lat": F.col("lat") + 0.002})
+    user = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("i"))
+    k, leg, step = F.col("k"), F.floor(F.col("k") / 10), F.col("k") % 10
+    straight = F.col("user_id") % 3 == 0
+    flown = user.crossJoin(spark.range(50).select(F.col("id").cast("int").alias("k"))).select(  # fifty rows
+        (2_000_000_000 + F.col("i") * 50 + k).alias("obs_id"), F.concat(F.lit("g"), "user_id").alias("entity_id"), (now(None) - F.make_dt_interval(secs=(49 - k) * 10)).alias("ts"),
+        (F.col("user_id") % 1600 * F.lit(0.05) - 40 + F.lit(0.004) * F.when(straight, k).otherwise(leg)).alias("lat"), F.when(straight, F.lit(-79.0)).otherwise(-79 + 0.003 * F.when(leg % 2 == 0, step).otherwise(9 - step)).alias("lon"),
+        F.lit(1000.0).alias("alt_m"), F.lit(60.0).alias("speed_mps"), F.lit(0.0).alias("track_deg"),
+    )
+    cols = ["obs_id", "entity_id", "ts", "lat", "lon", "alt_m", "speed_mps", "track_deg"]
+    return p.select(cols).unionByName(wing.select(cols)).unionByName(flown)
+
+
 def survey_grid(spark, d):
-    return behavior.survey_grid(snapshot(spark, d, 1), now(None))
+    return behavior.survey_grid(planted(spark, d), now(None))
 
 
 def formation_pairs(spark, d):
-    return behavior.formation_pairs(snapshot(spark, d, 1), now(None))
+    return behavior.formation_pairs(planted(spark, d).where("entity_id like 'u%'"), now(None))
 
 
 def behavior_badges(spark, d):
-    return behavior.behaviors(snapshot(spark, d, 1), now(None)).select("entity_id", F.array_join("behaviors", ",").alias("behaviors"), "badges")
+    return behavior.behaviors(planted(spark, d), now(None)).select("entity_id", F.array_join("behaviors", ",").alias("behaviors"), "badges")
 
 
 def heading_rate(spark, d):

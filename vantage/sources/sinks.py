@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +49,24 @@ def retained(store: DataFrame, now: Column, seconds: int = 3_600) -> DataFrame:
     return store.where(F.col("t") >= now - seconds)
 
 
-def cadence(snapshots: DataFrame, seconds: int = 20) -> DataFrame:
-    """At most one snapshot per entity and slot of ``seconds``: the earliest."""
-    w = Window.partitionBy("entity_id", F.floor(F.col("at") / seconds)).orderBy("at")
-    return snapshots.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def cadence(snapshots: DataFrame, saved: DataFrame | None = None, seconds: float = 20.0) -> DataFrame:
+    """Snapshots of each entity that are ``seconds`` or more later than its last saved one, in
+    order: one kept is the last saved one for those after it. ``saved`` are earlier snapshots."""
+    rows = snapshots.withColumn("_old", F.lit(False))
+    if saved is not None:
+        rows = saved.groupBy("entity_id").agg(F.max("at").alias("at")).withColumn("_old", F.lit(True)).unionByName(rows, allowMissingColumns=True).select(*rows.columns)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, last = None, None
+        for b in batches:
+            keep = []
+            for entity, at, old in zip(*(b.column(c).to_pylist() for c in ("entity_id", "at", "_old")), strict=True):
+                good = old or entity != who or at >= last + seconds
+                who, last = entity, at if good else last
+                keep.append(good and not old)
+            yield b.drop_columns("_old").filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("entity_id").sortWithinPartitions("entity_id", "at").mapInArrow(walk, snapshots.schema)
 
 
 def replay_tracks(store: DataFrame) -> DataFrame:

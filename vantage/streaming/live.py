@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -72,13 +73,23 @@ def rolling_tracks(states: DataFrame) -> DataFrame:
     return marked.groupBy("entity_id").transformWithStateInPandas(RollingTracks(), OUT, "Append", "EventTime")
 
 
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one task, sorted by entity and time, that are later than the last kept one."""
+    who, last = None, None
+    for b in batches:
+        keep = []
+        for entity, t in zip(b.column("entity_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+            good = entity != who or last is None or (t is not None and t > last + MIN_STEP_S)
+            who, last = entity, t if good else last
+            keep.append(good)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def rolling_batch(states: DataFrame) -> DataFrame:
-    """The same rule over a whole table: each entity's times folded in order (a lag would compare
-    with rows that were not kept). The fold carries three numbers; the kept times join nothing."""
-    by = states.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("t", "obs_id"))).alias("s"))
-    kept = F.expr(f"""aggregate(s, named_struct('last', cast(null as double), 'o', cast(array() as array<struct<t:double,obs_id:bigint>>)),
-        (a, x) -> if(a.last is null or x.t > a.last + {MIN_STEP_S}, named_struct('last', x.t, 'o', array_append(a.o, x)), a), a -> a.o)""")
-    return by.select("entity_id", F.explode(kept).alias("k")).select("entity_id", "k.*")
+    """(entity_id, t, obs_id) that the same rule keeps of a whole table. A lag would compare with
+    rows that were not kept, so each task walks its entities in order and holds one time."""
+    rows = states.select("entity_id", F.col("t").cast("double").alias("t"), F.col("obs_id").cast("long").alias("obs_id"))
+    return rows.repartition("entity_id").sortWithinPartitions("entity_id", "t", "obs_id").mapInArrow(_kept, rows.schema)
 
 
 def hourly(states: DataFrame) -> DataFrame:
