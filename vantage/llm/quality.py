@@ -29,6 +29,8 @@ from .common import Shelf, words_of
 #: Features with the smallest standard deviation that counts (also the covariance ridge).
 FEATURES = {"x_word_len": 0.05, "x_symbols": 0.05, "x_dup_lines": 0.15, "x_repeats": 0.15, "x_capitals": 0.05}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Groups up to which their estimates (some 600 bytes each, three at first) are broadcast.
+BROADCAST_GROUPS = 20_000
 _P, _XS = len(FEATURES), list(FEATURES)
 _PAIRS = [(j, i) for j in range(_P) for i in range(j, _P)]
 
@@ -129,14 +131,15 @@ def _distance(df: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame
     return df.join(params, "gk", how).selectExpr(*df.columns, *[c for c in ("start", "logdet") if c in params.columns], f"{d2} as d2")
 
 
-def _starts(fit: DataFrame, shelf: Shelf) -> DataFrame:
+def _starts(fit: DataFrame, shelf: Shelf) -> tuple[DataFrame, bool]:
     """Three starting estimates per group: medians with quartile ranges, the same with the
-    covariance of spatial signs, and the plain mean and covariance."""
+    covariance of spatial signs, and the plain mean and covariance; whether groups are few."""
     plain = shelf.put(fit.groupBy("gk").agg(*_sums(), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"r_{i}") for i, x in enumerate(_XS)]))
     floor = list(FEATURES.values())
     spread = [f"sqrt(pow((r_{i}[2] - r_{i}[0]) / 1.349d, 2) + {floor[i] ** 2!r}d) as d_{i}" for i in range(_P)]
     robust = shelf.put(plain.selectExpr("gk", *[f"r_{i}[1] as m_{i}" for i in range(_P)], *spread))
-    scaled = fit.join(robust, "gk").selectExpr("gk", *[f"({x} - m_{i}) / d_{i} as z_{i}" for i, x in enumerate(_XS)])
+    few = plain.count() <= BROADCAST_GROUPS
+    scaled = fit.join(F.broadcast(robust) if few else robust, "gk").selectExpr("gk", *[f"({x} - m_{i}) / d_{i} as z_{i}" for i, x in enumerate(_XS)])
     size = f"greatest({' + '.join(f'z_{i} * z_{i}' for i in range(_P))}, 1e-12d)"
     signs = scaled.groupBy("gk").agg(*[F.expr(f"avg(z_{j} * z_{i} / {size}) as g_{j}_{i}") for j, i in _PAIRS]).join(robust, "gk")
     parts = [
@@ -144,7 +147,7 @@ def _starts(fit: DataFrame, shelf: Shelf) -> DataFrame:
         signs.selectExpr("gk", "1 as start", *_MEANS, *[f"d_{i} * d_{j} * ({_P} * g_{j}_{i} + {0.01 if i == j else 0.0}d) as c_{j}_{i}" for j, i in _PAIRS]),
         _moments(plain, ["gk"], 1.0).selectExpr("gk", "2 as start", *_MEANS, *[f"c_{j}_{i}" for j, i in _PAIRS]),
     ]
-    return _inverted(parts[0].union(parts[1]).union(parts[2]), ["gk", "start"])
+    return _inverted(parts[0].union(parts[1]).union(parts[2]), ["gk", "start"]), few
 
 
 def _concentrated(fit: DataFrame, params: DataFrame, share: float) -> DataFrame:
@@ -187,9 +190,11 @@ def quality_rules(docs: DataFrame, *, share: float = 0.75, most_steps: int = 12,
     keys = [F.concat(F.lit("2"), F.to_json(F.struct("lang", "source"))).alias("gk"), F.concat(F.lit("1"), F.to_json(F.struct("lang"))).alias("_lang")]
     stats = shelf.put(stats.select("doc_id", *BASE, failed.alias("base_failed"), *[c.alias(k) for k, c in _features().items()], *keys))
     fit = stats.where("not base_failed").select(F.explode(F.array("gk", "_lang", F.lit("0"))).alias("gk"), *_XS)
-    params = held = shelf.put(_starts(fit, shelf))
+    start, few = _starts(fit, shelf)
+    sent = F.broadcast if few else lambda x: x
+    params = held = shelf.put(start)
     for k in range(most_steps):
-        then = _concentrated(fit, params, share)
+        then = _concentrated(fit, sent(params), share)
         if k == 1:
             then = then.withColumn("_k", F.row_number().over(Window.partitionBy("gk").orderBy("logdet", "start"))).where("_k = 1").drop("_k")
         then = shelf.put(then)
@@ -198,13 +203,13 @@ def quality_rules(docs: DataFrame, *, share: float = 0.75, most_steps: int = 12,
         if k > 1 and (then.agg(F.max(F.col("was") - F.col("logdet"))).first()[0] or 0.0) < settled:
             break
     inner = chi2_quantile(0.975, _P)
-    sums = _distance(fit, params).where(F.col("d2") <= inner).groupBy("gk").agg(*_sums())
+    sums = _distance(fit, sent(params)).where(F.col("d2") <= inner).groupBy("gk").agg(*_sums())
     found = shelf.put(_moments(sums, ["gk"], 0.975 / chi2_cdf(inner, _P + 2)))
     whole = _wider(found.where("gk = '0'"), "_all")
     langs = _drawn(found.where("gk like '1%'").crossJoin(F.broadcast(whole)), prior, ["gk"])  # one row
     parents = stats.select("gk", "_lang").distinct()
     own = found.join(parents, "gk").join(_wider(langs, "_lang"), "_lang")
     final = shelf.put(_inverted(_drawn(own, prior, ["gk"]), ["gk"]).drop("logdet"))
-    out = _distance(stats, final, "left")
+    out = _distance(stats, sent(final), "left")
     fine = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(1 - reject_p, _P), F.lit(True))
     return out.select("doc_id", *BASE, "base_failed", fine.alias("kept"), "d2")
