@@ -157,7 +157,7 @@ def test_elements_and_passes(spark):
 def test_nearest_blocks(spark, sf, monkeypatch):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = sorted(map(tuple, similarity.nearest(v, v, 3).select("vec_id", "rank", "neighbour").collect()))
-    monkeypatch.setattr(similarity, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(similarity, "BLOCK", 64)
     assert sorted(map(tuple, similarity.nearest(v, v, 3).select("vec_id", "rank", "neighbour").collect())) == want
 
 

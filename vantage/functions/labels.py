@@ -48,6 +48,30 @@ def wmo_text(code: Column) -> Column:
     return F.coalesce(F.try_element_at(table, code.cast("int")), F.concat(F.lit("wmo "), code.cast("string")))
 
 
+def _number(c: Column) -> Column:
+    """A number as short as it can be told: no point for whole ones."""
+    return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+
+
+def weather_line() -> Column:
+    """One line from the columns of ``feeds.weather_now``."""
+    c = F.col
+    rain = F.when(c("precipitation") > 0, F.concat(F.lit(" · precip "), _number(c("precipitation")), F.lit(" mm"))).otherwise("")
+    told = F.format_string("wx %s°C · wind %d kn @ %03d° · cloud %s%% · %s", _number(c("temperature_2m")), F.round("wind_speed_10m").cast("int"), F.round("wind_direction_10m").cast("int"), _number(c("cloud_cover")), wmo_text(c("weather_code")))
+    return F.concat(told, rain)
+
+
+def weather_lines() -> Column:
+    """Four lines of detail from the same columns."""
+    c, whole = F.col, lambda k: F.round(k).cast("int")
+    return F.array(
+        F.format_string("temperature %s °C · humidity %s%%", _number(c("temperature_2m")), _number(c("relative_humidity_2m"))),
+        F.format_string("wind %d kn @ %03d° · gusts %d kn", whole("wind_speed_10m"), whole("wind_direction_10m"), whole("wind_gusts_10m")),
+        F.format_string("pressure %d hPa · cloud %s%%", whole("surface_pressure"), _number(c("cloud_cover"))),
+        F.format_string("%s · precip %s mm", wmo_text(c("weather_code")), _number(c("precipitation"))),
+    )
+
+
 def kp_level(kp: Column) -> Column:
     """Geomagnetic level from the planetary K index."""
     out = F.when(kp < 4, "quiet").when(kp < 5, "active")
@@ -60,6 +84,11 @@ def aurora_hint(kp: Column) -> Column:
     return kp >= 7
 
 
+def kp_line(kp: Column) -> Column:
+    """The level in words, with a hint from K 7 on."""
+    return F.concat(F.format_string("Kp %.1f · %s", kp, kp_level(kp)), F.when(aurora_hint(kp), " · aurora possible").otherwise(""))
+
+
 def emergency(flag: Column, squawk: Column) -> Column:
     """The emergency field unless none, else the distress squawk."""
     return F.when(flag.isNotNull() & (flag != "") & (flag != "none"), flag).when(squawk.isin("7500", "7600", "7700"), F.concat(F.lit("squawk "), squawk))

@@ -63,7 +63,7 @@ def prior_baseline(tracks: DataFrame, weights: AnomalyWeights = WEIGHTS) -> Data
     return base.join(nearest_corridor(tracks), "track_id")
 
 
-_SIDES = "track_id string, seq long, h double, below double, above double, pid int, note string"
+_SIDES = "seq long, h double, below double, above double, pid int, note string"
 
 
 def _smaller(seq: list[int]) -> tuple[list[int], list[int]]:
@@ -81,7 +81,7 @@ def _smaller(seq: list[int]) -> tuple[list[int], list[int]]:
 
 def _beside(t: pa.Table) -> pa.Table:
     """Headings next below and above among earlier tracks of one range of headings, and a note."""
-    t = t.sort_by([("h", "ascending"), ("seq", "ascending")])
+    t = t.sort_by("h")
     seq, h = t.column("seq").to_pylist(), t.column("h").to_pylist()
     n = len(seq)
     below, left = _smaller(seq)
@@ -90,7 +90,7 @@ def _beside(t: pa.Table) -> pa.Table:
     pid = t.column("pid")[0].as_py()
     note = json.dumps({"below": [(h[i], seq[i]) for i in left], "above": [(h[n - 1 - i], seq[n - 1 - i]) for i in right]})
     pick = lambda at: pa.array([h[i] if i >= 0 else None for i in at], pa.float64())
-    rows = pa.table([t.column("track_id"), t.column("seq"), t.column("h"), pick(below), pick(above), t.column("pid"), pa.nulls(n, pa.string())], [c.split()[0] for c in _SIDES.split(", ")])
+    rows = pa.table([t.column("seq"), t.column("h"), pick(below), pick(above), t.column("pid"), pa.nulls(n, pa.string())], [c.split()[0] for c in _SIDES.split(", ")])
     last = pa.table({f.name: pa.array([{"pid": pid, "note": note}.get(f.name)], f.type) for f in rows.schema})
     return pa.concat_tables([rows.combine_chunks(), last])
 
@@ -105,33 +105,54 @@ def _round_trip(notes: dict[int, list], turn: float) -> dict[int, list]:
             own = [(h + turn * lap, s) for h, s in reversed(notes[pid])]
             low = min((s for _, s in own), default=None)
             came = own + [x for x in came if low is None or x[1] < low]
-        if lap:
-            came = [x for x in came]
     return out
 
 
 def nearest_corridor(tracks: DataFrame) -> DataFrame:
     """(track_id, nearest_corridor): smallest turn to a heading of an earlier track, null for the first.
 
-    In the order of headings, that heading is the nearest place on either side with a smaller
-    ``seq``. Each range of headings finds them with a stack; what a range can't tell is looked up
-    among the places of other ranges that nothing nearer undercuts, some log n per range.
+    Of tracks with one heading only the first counts for others, and the rest have it at no turn.
+    In the order of headings, the nearest earlier one is the nearest place on either side with a
+    smaller ``seq``. Each range of headings finds those with a stack; what a range can't tell is
+    looked up among the places of other ranges that nothing nearer undercuts, some log n per
+    range. Ranges are cut at fixed values, so that a task that runs again sees the same rows.
     """
+    spark = tracks.sparkSession
     rows = tracks.select("track_id", F.col("seq").cast("long").alias("seq"), F.col("heading_deg").alias("h")).where("h is not null")
-    ranged = rows.repartitionByRange("h", "seq").withColumn("pid", F.spark_partition_id())
-    solved = ranged.groupBy("pid").applyInArrow(_beside, _SIDES).persist()
+    firsts = rows.groupBy("h").agg(F.min("seq").alias("seq"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(firsts.approxQuantile("h", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    pid = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("h")))
+    solved = firsts.withColumn("pid", pid).groupBy("pid").applyInArrow(_beside, _SIDES)
     notes = {r.pid: json.loads(r.note) for r in solved.where("note is not null").select("pid", "note").collect()}  # one row per range
     below, above = (_round_trip({k: x[side] for k, x in notes.items()}, turn) for side, turn in (("below", -360.0), ("above", 360.0)))
     stair = "array<struct<h:double,seq:long>>"
-    near = F.broadcast(tracks.sparkSession.createDataFrame([(k, below[k], above[k]) for k in sorted(notes)], f"pid int, b {stair}, a {stair}"))
+    near = F.broadcast(spark.createDataFrame([(k, below[k], above[k]) for k in sorted(notes)], f"pid int, b {stair}, a {stair}"))
     first = lambda side, stairs: F.coalesce(F.col(side), F.get(F.filter(stairs, lambda e: e["seq"] < F.col("seq")), 0)["h"])
-    out = solved.where("note is null").join(near, "pid").select("track_id", F.least(F.col("h") - first("below", "b"), first("above", "a") - F.col("h")).alias("nearest_corridor"))
+    told = solved.where("note is null").join(near, "pid").select("h", "seq", F.least(F.col("h") - first("below", "b"), first("above", "a") - F.col("h")).alias("near"), F.lit(True).alias("is_first"))
+    out = rows.join(told, ["h", "seq"], "left").select("track_id", F.when(F.col("is_first"), F.col("near")).otherwise(0.0).alias("nearest_corridor"))
     return tracks.select("track_id").join(out, "track_id", "left")
 
 
+def live_summary(points: DataFrame) -> DataFrame:
+    """Live tracks as the score takes them: heading of the latest velocity (0 if none), signal of
+    the latest report (-20 if none), elevation from -90 up.
+
+    points: entity_id, t, alt_m, range_m, elevation_deg, and track_deg, rssi and callsign as last known.
+    """
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("t")))
+    by = points.groupBy("entity_id").agg(
+        F.count("*").alias("n_points"), F.avg("alt_m").alias("mean_alt_m"), F.coalesce(F.min("range_m"), F.lit(0.0)).alias("min_range_m"), F.greatest(F.max("elevation_deg"), F.lit(-90.0)).alias("max_elevation_deg"),
+        F.coalesce(last("track_deg"), F.lit(0.0)).alias("heading_deg"), F.coalesce(last("rssi"), F.lit(-20.0)).alias("mean_signal_dbfs"), F.coalesce(last("callsign"), F.lit("")).alias("callsign"), F.min("t").alias("t0"),
+    )
+    return by.withColumns({"track_id": F.col("entity_id"), "start_hour": F.hour(F.timestamp_micros((F.col("t0") * 1e6).cast("long")))})
+
+
 def leave_one_out(tracks: DataFrame, least: int = 6) -> DataFrame:
-    """Per track the mean and spread of all others, from totals; none with fewer than ``least``."""
-    total = tracks.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}_{c}") for c in ("mean_alt_m", "mean_signal_dbfs") for p, f in (("s", F.sum), ("q", lambda x: F.sum(F.col(x) * F.col(x))))])
+    """Per track what all others say, none of them needing to be earlier: means and spreads from
+    totals, start hours nearby from one row per hour, the nearest heading among those before and
+    those after in any order. Nothing with fewer than ``least`` tracks."""
+    total = tracks.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}_{c}") for c in ("mean_alt_m", "mean_signal_dbfs") for p, f in (("s", F.sum), ("q", lambda x: F.sum(F.col(x) * F.col(x))))], *[F.count_if(F.col("start_hour") == h).alias(f"h_{h}") for h in range(24)])
     both = tracks.crossJoin(F.broadcast(total)).where(F.col("n") >= least)  # one row of totals
 
     def stats(c: str, floor: float) -> tuple[Column, Column]:
@@ -139,9 +160,14 @@ def leave_one_out(tracks: DataFrame, least: int = 6) -> DataFrame:
         v = (F.col(f"q_{c}") - F.col(c) * F.col(c)) / (F.col("n") - 1) - m * m
         return m, F.greatest(F.sqrt(F.greatest(v, F.lit(0.0))), F.lit(floor))
 
+    hours = F.array(*[F.col(f"h_{h}") for h in range(24)])
+    near = sum((F.get(hours, F.pmod(F.col("start_hour") + k, F.lit(24))) for k in range(-HOUR_REACH, HOUR_REACH + 1)), F.lit(0)) - 1
     am, asd = stats("mean_alt_m", ALT_FLOOR)
     sm, ssd = stats("mean_signal_dbfs", SIGNAL_FLOOR)
-    return both.select("track_id", am.alias("alt_mean"), asd.alias("alt_std"), sm.alias("sig_mean"), ssd.alias("sig_std"), (F.col("n") - 1).alias("n_prior"))
+    out = both.select("track_id", am.alias("alt_mean"), asd.alias("alt_std"), sm.alias("sig_mean"), ssd.alias("sig_std"), (F.col("n") - 1).alias("n_prior"), near.alias("hours_near"))
+    code = tracks.select("track_id", "heading_deg", F.xxhash64("track_id").alias("seq"))
+    sides = nearest_corridor(code).withColumnRenamed("nearest_corridor", "a").join(nearest_corridor(code.withColumn("seq", -F.col("seq"))).withColumnRenamed("nearest_corridor", "b"), "track_id")
+    return out.join(sides.select("track_id", F.least("a", "b").alias("nearest_corridor")), "track_id")
 
 
 def score(tracks: DataFrame, baseline: DataFrame, novelty: DataFrame, weights: AnomalyWeights = WEIGHTS) -> DataFrame:

@@ -85,5 +85,10 @@ def alerts(passes: DataFrame, now: float, ahead: float = 300.0) -> DataFrame:
     return passes.where((F.col("rise") > now) & (F.col("rise") - now <= ahead)).dropDuplicates(["name", "rise"])
 
 
-def above_horizon(at: DataFrame, n: int = 80) -> DataFrame:
-    return at.where("elevation_deg > 0").orderBy(F.desc("elevation_deg"), "name").limit(n)
+def above_horizon(at: DataFrame, n: int = 80, observer: Observer = OBSERVER) -> DataFrame:
+    """The n highest satellites of ``positions`` at one time, and whether each can be seen: it is
+    sunlit and the observer's sky dark."""
+    sun = at.withColumn("_sun", astro.sun_direction(F.col("t")))
+    dark = astro.sun_elevation(observer.lat, observer.lon, F.col("_sun")) < astro.DARK_SUN_DEG
+    seen = sun.withColumn("visible_now", dark & astro.sunlit(F.col("lat"), F.col("lon"), F.col("alt_m"), F.col("_sun"))).drop("_sun")
+    return seen.where("elevation_deg > 0").orderBy(F.desc("elevation_deg"), "name").limit(n)

@@ -146,7 +146,7 @@ ORACLES = {
     "hourly_counts": _with(_OBS, "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(DISTINCT entity_id) AS entities FROM obs GROUP BY 1"),
     "session_windows": _with(_PTS, "SELECT entity_id, min(ts) AS started, count(*) AS n_points FROM pts GROUP BY entity_id, segment"),
     "prior_baseline": _with(_BASE, "SELECT track_id, n_prior, round(alt_mean,3)+0.0 AS alt_mean, round(alt_std,3)+0.0 AS alt_std, round(sig_mean,4)+0.0 AS sig_mean, round(sig_std,4)+0.0 AS sig_std, hours_near, round(nearest_corridor,4)+0.0 AS nearest_corridor FROM base"),
-    "leave_one_out_baseline": _with(_SEQ, ", s AS (SELECT count(*) AS n, sum(mean_alt_m) AS a, sum(mean_alt_m*mean_alt_m) AS aa, sum(mean_signal_dbfs) AS g, sum(mean_signal_dbfs*mean_signal_dbfs) AS gg FROM q) SELECT track_id, n-1 AS n_prior, round((a-mean_alt_m)/(n-1),3)+0.0 AS alt_mean, round(greatest(sqrt(greatest((aa-mean_alt_m*mean_alt_m)/(n-1)-power((a-mean_alt_m)/(n-1),2),0)),500),2)+0.0 AS alt_std, round((g-mean_signal_dbfs)/(n-1),4)+0.0 AS sig_mean, round(greatest(sqrt(greatest((gg-mean_signal_dbfs*mean_signal_dbfs)/(n-1)-power((g-mean_signal_dbfs)/(n-1),2),0)),1),3)+0.0 AS sig_std FROM q, s"),
+    "leave_one_out_baseline": _with(_SEQ, ", s AS (SELECT count(*) AS n, sum(mean_alt_m) AS a, sum(mean_alt_m*mean_alt_m) AS aa, sum(mean_signal_dbfs) AS g, sum(mean_signal_dbfs*mean_signal_dbfs) AS gg FROM q), o AS (SELECT a.track_id, count(CASE WHEN least((a.start_hour-b.start_hour+48)%24,(b.start_hour-a.start_hour+48)%24)<=2 THEN 1 END) AS hours_near, min(" + _CIRC + ") AS nearest_corridor FROM q a JOIN q b ON a.track_id<>b.track_id GROUP BY 1) SELECT q.track_id, n-1 AS n_prior, round((a-mean_alt_m)/(n-1),3)+0.0 AS alt_mean, round(greatest(sqrt(greatest((aa-mean_alt_m*mean_alt_m)/(n-1)-power((a-mean_alt_m)/(n-1),2),0)),500),2)+0.0 AS alt_std, round((g-mean_signal_dbfs)/(n-1),4)+0.0 AS sig_mean, round(greatest(sqrt(greatest((gg-mean_signal_dbfs*mean_signal_dbfs)/(n-1)-power((g-mean_signal_dbfs)/(n-1),2),0)),1),3)+0.0 AS sig_std, hours_near, round(nearest_corridor,4)+0.0 AS nearest_corridor FROM q, s, o WHERE o.track_id=q.track_id"),
     "anomaly_scores": _with(_SCORE, "SELECT track_id, round(route_deviation,3)+0.0 AS route_deviation, round(altitude_deviation,3)+0.0 AS altitude_deviation, round(time_of_day_rarity,4)+0.0 AS time_of_day_rarity, round(signal_unusualness,3)+0.0 AS signal_unusualness, round(novelty_score,3)+0.0 AS novelty_score, round(score,3)+0.0 AS score FROM sc"),
     "unusual_top1": _with(_SCORE, "SELECT track_id, round(score,3)+0.0 AS score FROM sc WHERE score>0.3 ORDER BY sc.score DESC, seq DESC LIMIT 1"),
     "track_novelty": _with(_NOV, "SELECT track_id, round(novelty,3)+0.0 AS novelty FROM nov"),
@@ -166,8 +166,10 @@ ORACLES = {
     "sat_sunlit": _with(_SUN, """, u AS (SELECT event_id, de, radians(ra-gmst) AS sl, radians(CAST(event_id%160-80 AS DOUBLE)) AS la, radians(CAST(event_id*7%360-180 AS DOUBLE)) AS lo, 6378.137e0 AS a, (1/298.257223563e0)*(2-1/298.257223563e0) AS e2 FROM s2),
         v AS (SELECT *, a/sqrt(1-e2*sin(la)*sin(la)) AS n, a/sqrt(1-e2*sin(de)*sin(de)) AS m FROM u), x AS (SELECT event_id, (n+550)*cos(la)*cos(lo) AS px, (n+550)*cos(la)*sin(lo) AS py, (n*(1-e2)+550)*sin(la) AS pz, m*cos(de)*cos(sl) AS sx, m*cos(de)*sin(sl) AS sy, m*(1-e2)*sin(de) AS sz FROM v),
         y AS (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS k FROM x), z AS (SELECT *, (px*sx+py*sy+pz*sz)/k AS dot FROM y) SELECT event_id, dot>0 OR sqrt(px*px+py*py+pz*pz-dot*dot)>6371 AS sunlit FROM z"""),
-    "daily_brief": _with(_SCORE, f""", w0 AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM obs GROUP BY 1), wr AS (SELECT n%6 AS k, sum(CASE WHEN n%6<2 THEN 1 ELSE 0 END) OVER (ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM w0)
-        SELECT 'oakville_node' AS observer, (SELECT CAST(min(started) AS DATE) FROM trk) AS date, (SELECT count(DISTINCT entity_id) FROM trk) AS aircraft_observed, (SELECT count(*) FROM trk WHERE overhead) AS overhead_candidates, (SELECT count(*) FROM sc WHERE score>0.55) AS unusual_tracks, (SELECT count(DISTINCT run) FROM wr WHERE k>=2) AS n_weather_events"""),
+    "daily_brief": _with(_SCORE, f""", w0 AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM obs GROUP BY 1), wr AS (SELECT start, ['clear','cloudy','fog','rain','snow','thunderstorm'][CAST(n%6+1 AS INT)] AS kind, n%6 AS k, sum(CASE WHEN n%6<2 THEN 1 ELSE 0 END) OVER (ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM w0),
+        ev AS (SELECT min(start) AS a, max(start) + INTERVAL 1 HOUR AS z, arg_min(kind, start) AS kind FROM wr WHERE k>=2 GROUP BY run)
+        SELECT 'oakville_node' AS observer, (SELECT CAST(min(started) AS DATE) FROM trk) AS date, (SELECT count(DISTINCT entity_id) FROM trk) AS aircraft_observed, (SELECT count(*) FROM trk WHERE overhead) AS overhead_candidates, (SELECT count(*) FROM sc WHERE score>0.55) AS unusual_tracks,
+        (SELECT string_agg(kind || ' ' || strftime(a,'%H:%M') || '–' || strftime(z,'%H:%M') || ' UTC', '; ' ORDER BY a) FROM ev) AS weather, (SELECT round(max(score),3)+0.0 FROM sc WHERE score>0.3) AS confidence"""),
     "graph_nodes": _with(_SCORE, f""", w0 AS (SELECT date_trunc('hour', ts) AS h FROM obs GROUP BY 1), th AS (SELECT unnest(generate_series(date_trunc('hour', started), ended, INTERVAL 1 HOUR)) AS h FROM trk)
         SELECT 'observer:oakville_node' AS id, 'Observer' AS label UNION ALL SELECT 'weather:' || strftime(h,'%Y-%m-%dT%H'), 'WeatherCell' FROM w0 UNION ALL SELECT DISTINCT 'window:' || strftime(h,'%Y-%m-%dT%H'), 'TimeWindow' FROM (SELECT h FROM w0 UNION SELECT h FROM th)
         UNION ALL SELECT DISTINCT 'aircraft:' || entity_id, 'Aircraft' FROM trk UNION ALL SELECT track_id, 'Track' FROM trk UNION ALL SELECT 'obs:' || track_id || ':' || r, 'Observation' FROM trk, (VALUES ('first'),('closest_approach'),('last')) v(r) UNION ALL SELECT 'anomaly:' || track_id, 'Anomaly' FROM sc WHERE score>0.30"""),

@@ -173,7 +173,7 @@ def prior_baseline(spark, d):
 
 def leave_one_out_baseline(spark, d):
     b = anomaly.leave_one_out(rolled(spark, d))
-    return b.select("track_id", "n_prior", r("alt_mean", 3), r("alt_std", 2), r("sig_mean", 4), r("sig_std", 3))
+    return b.select("track_id", "n_prior", r("alt_mean", 3), r("alt_std", 2), r("sig_mean", 4), r("sig_std", 3), "hours_near", r("nearest_corridor", 4))
 
 
 def scored(spark, d):
@@ -318,13 +318,13 @@ def graph_edges(spark, d):
 
 def explain(spark, d):
     t, w, s, pairs = _graph(spark, d)
-    return graph.explain(graph.nodes(t, w, s), graph.edges(t, w, pairs, s), s.select("track_id")).select("track_id", "aircraft_id", F.size("evidence").alias("n_lines"))
+    return graph.explain(graph.nodes(t, w, s), graph.edges(t, w, pairs, s), s.select("track_id")).select("track_id", "aircraft_id", "callsign", F.array_join("evidence", "\n").alias("evidence"))
 
 
 def daily_brief(spark, d):
     t, w = summaries(spark, d).persist(), weather.from_observations(obs(spark, d))
     b = brief.daily_brief(t, anomaly.score(t, anomaly.prior_baseline(t), similarity.novelty(t)), w)
-    return b.select("observer", "date", "aircraft_observed", "overhead_candidates", "unusual_tracks", F.size("weather_events").alias("n_weather_events"))
+    return b.select("observer", "date", "aircraft_observed", "overhead_candidates", "unusual_tracks", F.array_join("weather_events", "; ").alias("weather"), r("most_unusual.confidence", 3, "confidence"))
 
 
 def scenario_brief(spark, d):

@@ -1,7 +1,10 @@
-"""Readers of receiver JSON, live polls, element sets, routes and space weather."""
+"""Readers of receiver JSON, live polls, element sets, routes, weather and space weather."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,40 @@ def poll_states(documents: DataFrame, column: str = "value") -> DataFrame:
     return out.where("entity_id <> '' and lat is not null and lon is not null and alt_m is not null")
 
 
+class Failover:
+    """Polls the first of several named sources that answers with a list of aircraft, starting
+    with the one that did so last. Sources are functions that return a document's text."""
+
+    def __init__(self, sources: list[tuple[str, Callable[[], str]]]):
+        self.sources, self.at, self.failures = sources, 0, 0
+
+    def poll(self) -> tuple[str, str] | None:
+        """(name, text), or None if all sources fail; ``failures`` counts such polls in a row."""
+        for k in range(len(self.sources)):
+            i = (self.at + k) % len(self.sources)
+            name, fetch = self.sources[i]
+            try:
+                text = fetch()
+                if not isinstance(json.loads(text).get("ac"), list):
+                    raise ValueError("no list of aircraft")
+            except Exception:  # noqa: BLE001, S112 - whatever a source does wrong, the next one is asked
+                continue
+            self.at, self.failures = i, 0
+            return name, text
+        self.failures += 1
+        return None
+
+
+WEATHER = "temperature_2m double, relative_humidity_2m double, surface_pressure double, wind_speed_10m double, wind_direction_10m double, wind_gusts_10m double, cloud_cover double, precipitation double, weather_code int"
+
+
+def weather_now(documents: DataFrame, column: str = "value", time: str | None = None) -> DataFrame:
+    """The current weather of each document that has it; with ``time`` only of the latest such
+    one, so that a failed poll leaves the last reading in place."""
+    d = documents.select(*([time] if time else []), F.from_json(column, f"current struct<{WEATHER}>")["current"].alias("c")).where("c is not null")
+    return d.agg(F.max_by("c", time).alias("c")).where("c is not null").select("c.*") if time else d.select("c.*")
+
+
 def latest_kp(documents: DataFrame, column: str = "value") -> DataFrame:
     """The last finite estimated K index of each document."""
     rows = F.from_json(column, "array<struct<time_tag:string,estimated_kp:double>>")
@@ -63,8 +100,32 @@ def freshest(table: DataFrame, key: str, now: Column, ttl_seconds: int) -> DataF
     return newest.withColumn("fresh", F.unix_seconds(now) - F.unix_seconds("fetched_at") <= ttl_seconds)
 
 
+def cached_elements(cache: DataFrame, group: str, now: float, fetch: Callable[[], str], ttl_seconds: int) -> tuple[DataFrame, str] | None:
+    """Element sets of a group and where they come from: a fresh cache, else the network, else a
+    stale cache; None without any. ``cache`` has (group, fetched_at seconds, text)."""
+    spark = cache.sparkSession
+    held = cache.where((F.col("group") == group)).agg(F.max(F.struct("fetched_at", "text")).alias("r")).first().r
+    read = lambda text: element_sets(spark, spark.createDataFrame([(text,)], "value string"))
+    old = read(held.text) if held is not None else None
+    usable = old is not None and not old.isEmpty()
+    if usable and now - held.fetched_at < ttl_seconds:
+        return old, f"cache ({group})"
+    try:
+        new = read(fetch())
+        if new.isEmpty():
+            raise ValueError("no element sets")
+        return new, f"network ({group})"
+    except Exception:  # noqa: BLE001 - any failure falls back to what was cached
+        return (old, f"stale cache ({group})") if usable else None
+
+
 def with_routes(tracks: DataFrame, routes: DataFrame, now: Column, ttl_seconds: int = 86_400, cap: int = 300) -> DataFrame:
-    """Left join to the newest ``cap`` cached routes within their time to live, by callsign."""
-    live = routes.where(F.unix_seconds(now) - F.unix_seconds("fetched_at") <= ttl_seconds).orderBy(F.desc("fetched_at"), "callsign").limit(cap)
-    right = live.select(F.upper(F.trim("callsign")).alias("_route"), "airline", "origin", "destination")
-    return tracks.join(F.broadcast(right), F.upper(F.trim("callsign")) == F.col("_route"), "left").drop("_route")
+    """Left join to the newest ``cap`` cached routes by callsign, and ``route``: known, none (the
+    cache has it that there is no route: a row without an airline and places), ask (not cached,
+    or longer than its time to live), or null without a callsign."""
+    newest = routes.groupBy(F.upper(F.trim("callsign")).alias("_route")).agg(F.max_by(F.struct("airline", "origin", "destination"), "fetched_at").alias("_r"), F.max("fetched_at").alias("_at"))
+    live = newest.orderBy(F.desc("_at"), "_route").limit(cap).where(F.unix_seconds(now) - F.unix_seconds("_at") < ttl_seconds)
+    out = tracks.join(F.broadcast(live), F.upper(F.trim("callsign")) == F.col("_route"), "left")  # at most cap rows
+    none = F.col("_r.airline").isNull() & F.col("_r.origin").isNull() & F.col("_r.destination").isNull()
+    state = F.when(F.trim("callsign") == "", None).when(F.col("_route").isNull(), "ask").when(none, "none").otherwise("known")
+    return out.select(*tracks.columns, "_r.airline", "_r.origin", "_r.destination", F.when(F.col("callsign").isNotNull(), state).alias("route"))

@@ -66,9 +66,14 @@ def cadence(snapshots: DataFrame, saved: DataFrame | None = None, seconds: float
                 keep.append(good and not old)
             yield b.drop_columns("_old").filter(pa.array(keep, pa.bool_()))
 
-    return rows.repartition("entity_id").sortWithinPartitions("entity_id", "at").mapInArrow(walk, snapshots.schema)
+    # By a hash of the key: a shuffle by the key itself may be left out above a union of cached tables.
+    return rows.repartition(F.xxhash64("entity_id")).sortWithinPartitions("entity_id", "at").mapInArrow(walk, snapshots.schema)
 
 
 def replay_tracks(store: DataFrame) -> DataFrame:
-    """Recorded points grouped by entity in time order, with the label written last."""
-    return store.groupBy("entity_id").agg(F.max_by("label", "t").alias("label"), F.sort_array(F.collect_list(F.struct("t", "lat", "lon", "alt_m"))).alias("points"))
+    """Recorded points grouped by entity in time order, with the label written last, the category
+    written first, and the times of the first and last point."""
+    at = F.struct("t", "lat", "lon", "alt_m", "azimuth_deg", "elevation_deg", "range_m")
+    order = F.struct("epoch", "t")
+    out = store.groupBy("entity_id").agg(F.max_by("label", order).alias("label"), F.min_by("category", order).alias("category"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sort_array(F.collect_list(at)).alias("points"))
+    return out.select("entity_id", "label", "category", "t0", "t1", "points")
