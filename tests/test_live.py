@@ -1,4 +1,4 @@
-"""The live layer: folds, feeds, caches, scores, the poll cycle; and searches against brute force."""
+"""The live layer: folds, feeds, caches and scores; and searches against brute force."""
 
 import json
 import math
@@ -7,13 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.config import OBSERVER
 from vantage.functions import labels
 from vantage.operators import anomaly, behavior, conflict, passes, similarity, tracks
 from vantage.queries import START, TLE
 from vantage.sources import feeds, sinks
 from vantage.streaming import live
-from vantage.streaming.cycle import SkyCycle
 
 
 @pytest.fixture
@@ -218,31 +216,3 @@ def test_only_aircraft_are_stitched(spark):
     rows = [("a", i, i, "", kind) for i, kind in enumerate(("aircraft", "weather_cell", "aircraft"))]
     df = spark.createDataFrame(rows, "entity_id string, obs_id long, s long, callsign string, entity_type string").withColumn("ts", F.timestamp_seconds("s"))
     assert sorted(r.obs_id for r in tracks.stitch(df).collect()) == [0, 2]
-
-
-def poll(now, k):
-    """Seven aircraft, two of them side by side and head on to a third."""
-    ac = []
-    for i in range(7):
-        north = 0.002 * (i == 1) + 0.1 * (i > 2) * i
-        east = 0.05 - 0.0012 * k * 10 if i == 2 else -0.03 + 0.0012 * k * 10
-        ac.append({"hex": f"~A{i}", "flight": f"F{i} ", "lat": OBSERVER.lat + north, "lon": OBSERVER.lon + east, "alt_geom": 3000 + 10 * i, "gs": 190, "track": 270 if i == 2 else 90, "geom_rate": 0, "squawk": "7700" if i == 6 else "1200", "seen_pos": 0, "rssi": -20 - i})
-    return json.dumps({"now": now, "ac": ac})
-
-
-def test_poll_cycle(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("vantage.streaming.cycle.MIN_FIXES", 1)
-    cycle, base = SkyCycle(str(tmp_path)), 1_000_000
-    for k in (0, 3, 5, 5):  # the last epoch comes twice
-        cycle(feeds.poll_states(spark.createDataFrame([(poll(base + 10.0 * k, k),)], "value string")), k)
-    at = lambda name, k: spark.read.parquet(f"{tmp_path}/{name}/epoch={k}").collect()
-    assert len(at("points", 0)) == 7 and len(at("points", 5)) == 7 and at("scores", 0)[0].score is not None
-    assert {r.entity_id: r.badges for r in at("behaviors", 5)} == {f"a{i}": "FORM" if i < 2 else "" for i in range(7)}
-    assert {(r.a, r.b) for r in at("conflicts", 0)} >= {("a0", "a1"), ("a0", "a2"), ("a1", "a2")}
-    memory = cycle.read(spark, "memory", "entity_id string, at double, embedding array<float>").collect()
-    assert sorted({r["at"] - base for r in memory}) == [0.0, 30.0, 50.0] and len(memory) == 21  # every 20 s
-    replay = {r.entity_id: r for r in cycle.replay(spark).collect()}
-    assert len(replay) == 7 and replay["a0"].label == "F0" and len(replay["a0"].points) == 3 and replay["a0"].points[0].range_m > 0
-    cycle.prune(spark, base + 5_000.0)
-    assert cycle.read(spark, "points", "entity_id string, t double").isEmpty()
-    cycle(feeds.poll_states(spark.createDataFrame([(json.dumps({"now": base, "ac": []}),)], "value string")), 9)
