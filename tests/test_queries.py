@@ -26,6 +26,13 @@ def test_oracle(spark, sf, duck, name):
     assert key(got.select(cols).collect()) == key(want.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["daily_brief", "graph_nodes", "unusual_top1", "anomaly_scores", "explain", "graph_edges"])
+def test_driver_plans_written_tables(spark, sf, name):
+    """The driver holds one short plan over written tables, not that of all steps since the events."""
+    plan = queries.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "event_id" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -1,61 +1,14 @@
-"""Shared pieces: tables in the cluster's shared folder, word splitting, column hygiene."""
+"""Shared pieces: word splitting, column hygiene."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shelf import Shelf, shared_dir  # noqa: F401
+
 #: ASCII whitespace, the word separator of every contract in this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session may do without one: its executors are
-    the driver, so a temporary folder is shared, too."""
-    found = spark.sparkContext.getConf().get(_KEY) or spark.conf.get("vantage.shared.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
-            raise RuntimeError(f"{_KEY} must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="vantage-")
-        spark.conf.set("vantage.shared.dir", found)
-    return found.rstrip("/")
-
-
-class Shelf:
-    """Tables written to the shared folder: they cut lineage and survive lost executors. They go
-    with the application, if not earlier."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        self.n = 0
-
-    def _place(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
-        if self.n == 1:
-            p, files = self._place(self.base)
-            files.deleteOnExit(p)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later plan reads."""
-        for t in tables:
-            if path := self.paths.pop(id(t), None):
-                p, files = self._place(path)
-                files.delete(p, True)
 
 
 def words_of(text: Column) -> Column:

@@ -11,6 +11,7 @@ from .functions import astro, geo, labels
 from .operators import anomaly, behavior, brief, conflict, embedding, graph, passes, similarity, tracks, weather
 from .oracles import ORACLES
 from .plans import day
+from .shelf import Shelf
 from .sources import events as adapter
 from .sources import scenario, sinks
 from .streaming import live
@@ -176,9 +177,23 @@ def leave_one_out_baseline(spark, d):
     return b.select("track_id", "n_prior", r("alt_mean", 3), r("alt_std", 2), r("sig_mean", 4), r("sig_std", 3), "hours_near", r("nearest_corridor", 4))
 
 
+def shelved(shelf: Shelf, d: str) -> DataFrame:
+    """The summaries, written: what reads them many times plans no more than a scan."""
+    t = shelf.put(embedding.track_vectors(rolled(shelf.spark, d)))
+    out = shelf.put(anomaly.sequenced(t))
+    shelf.drop(t)
+    return out
+
+
+def scores(shelf: Shelf, t: DataFrame) -> DataFrame:
+    """Scores of written summaries, their parts written one after the other, so that the driver
+    never holds one plan of all of them."""
+    return shelf.put(anomaly.score(t, shelf.put(anomaly.prior_baseline(t)), shelf.put(similarity.novelty(t))))
+
+
 def scored(spark, d):
-    t = summaries(spark, d).persist()
-    return anomaly.score(t, anomaly.prior_baseline(t), similarity.novelty(t))
+    shelf = Shelf(spark, "scored")
+    return scores(shelf, shelved(shelf, d))
 
 
 def anomaly_scores(spark, d):
@@ -190,7 +205,7 @@ def unusual_top1(spark, d):
 
 
 def track_novelty(spark, d):
-    return similarity.novelty(summaries(spark, d)).select("track_id", r("novelty", 3))
+    return similarity.novelty(shelved(Shelf(spark, "novelty"), d)).select("track_id", r("novelty", 3))
 
 
 def vectors(spark, d):
@@ -299,31 +314,35 @@ def novelty_cap(spark, d):
 
 
 def _graph(spark, d):
-    """Track rows are persisted, as node and edge kinds read them many times."""
-    t, w = summaries(spark, d).persist(), weather.from_observations(obs(spark, d))
-    s = anomaly.score(t, anomaly.prior_baseline(t), similarity.novelty(t)).where("band_rank >= 1").persist()
-    pairs = similarity.similar_pairs(similarity.nearest(t, t, 1, key="track_id"), "track_id", "neighbour")
-    return t, w, s, pairs
+    """Tracks, windows and scores are written, as node and edge kinds read them many times."""
+    shelf = Shelf(spark, "graph")
+    t, w = shelved(shelf, d), shelf.put(weather.from_observations(obs(spark, d)))
+    return shelf, t, w, scores(shelf, t).where("band_rank >= 1")
+
+
+def _pairs(shelf: Shelf, t: DataFrame) -> DataFrame:
+    return shelf.put(similarity.similar_pairs(similarity.nearest(t, t, 1, key="track_id"), "track_id", "neighbour"))
 
 
 def graph_nodes(spark, d):
-    t, w, s, _ = _graph(spark, d)
+    _, t, w, s = _graph(spark, d)
     return graph.nodes(t, w, s).select("id", "label")
 
 
 def graph_edges(spark, d):
-    t, w, s, pairs = _graph(spark, d)
-    return graph.edges(t, w, pairs, s).groupBy("type", F.split("dst", "[:-]")[0].alias("to")).agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
+    shelf, t, w, s = _graph(spark, d)
+    return graph.edges(t, w, _pairs(shelf, t), s).groupBy("type", F.split("dst", "[:-]")[0].alias("to")).agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
 
 
 def explain(spark, d):
-    t, w, s, pairs = _graph(spark, d)
-    return graph.explain(graph.nodes(t, w, s), graph.edges(t, w, pairs, s), s.select("track_id")).select("track_id", "aircraft_id", "callsign", F.array_join("evidence", "\n").alias("evidence"))
+    shelf, t, w, s = _graph(spark, d)
+    return graph.explain(graph.nodes(t, w, s), graph.edges(t, w, _pairs(shelf, t), s), s.select("track_id")).select("track_id", "aircraft_id", "callsign", F.array_join("evidence", "\n").alias("evidence"))
 
 
 def daily_brief(spark, d):
-    t, w = summaries(spark, d).persist(), weather.from_observations(obs(spark, d))
-    b = brief.daily_brief(t, anomaly.score(t, anomaly.prior_baseline(t), similarity.novelty(t)), w)
+    shelf = Shelf(spark, "brief")
+    t, w = shelved(shelf, d), shelf.put(weather.from_observations(obs(spark, d)))
+    b = brief.daily_brief(t, scores(shelf, t), w)
     return b.select("observer", "date", "aircraft_observed", "overhead_candidates", "unusual_tracks", F.array_join("weather_events", "; ").alias("weather"), r("most_unusual.confidence", 3, "confidence"))
 
 
