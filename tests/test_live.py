@@ -112,6 +112,44 @@ def test_conflicts_match_all_pairs(spark):
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_crowded_conflicts_meet_in_blocks(spark, monkeypatch):
+    """Many states in few cells, of other heights, on cell borders, twice the same place: dealt to
+    blocks, over more batches than one, each pair once and without a join of pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(conflict, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    p = np.c_[rng.uniform(-6000, 6000, (260, 2)), rng.uniform(0, 2500, 260)]
+    v = np.c_[rng.uniform(-250, 250, (260, 2)), rng.uniform(-10, 10, 260)]
+    p[:40, :2], v[:20] = rng.choice([-4000.0, 0.0, 4000.0], (40, 2)), 0
+    p[40:60], v[40:60] = p[60:80], v[60:80]
+    p[80], v[80], p[81], v[81] = (-500_000, 100, 300), (7600, 0, 0), (0, -4e5, 4e5), (0, 4000, -4000)
+    rows = [(f"e{i}", tuple(map(float, a)), tuple(map(float, b))) for i, (a, b) in enumerate(zip(p, v))] + [("none", None, (0.0, 0.0, 0.0)), ("nan", (math.nan, 0.0, 0.0), (0.0, 0.0, 0.0))]
+    df = spark.createDataFrame(rows, "entity_id string, p struct<e:double,n:double,u:double>, v struct<e:double,n:double,u:double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = conflict.conflicts(df)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        got = [(r.a, r.b, r.t, r.dh, r.dv) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = []
+    for i in range(260):
+        for j in range(260):
+            if f"e{i}" < f"e{j}":
+                d, w = p[j] - p[i], v[j] - v[i]
+                v2 = w @ w
+                t = 0.0 if v2 < 1e-9 else float(np.clip(-(d @ w) / v2, 0, 90))
+                dh, dv = math.hypot(*(d + w * t)[:2]), abs((d + w * t)[2])
+                if dh < 1000 and dv < 300:
+                    want.append((f"e{i}", f"e{j}", t, dh, dv))
+    assert len(want) > 500 and got == sorted(got, key=lambda x: (x[2], x[0], x[1]))
+    key = lambda x: x[:2]
+    assert [key(x) for x in sorted(got)] == [key(x) for x in sorted(want)]
+    assert np.allclose([x[2:] for x in sorted(got)], [x[2:] for x in sorted(want)], atol=1e-6)
+
+
 def test_formation_at_any_latitude(spark):
     rows = []
     for i, lat in enumerate((44.0, 44.3, 0.0, -79.0, 60.0, -0.001)):
