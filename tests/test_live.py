@@ -275,3 +275,15 @@ def test_only_aircraft_are_stitched(spark):
     rows = [("a", i, i, "", kind) for i, kind in enumerate(("aircraft", "weather_cell", "aircraft"))]
     df = spark.createDataFrame(rows, "entity_id string, obs_id long, s long, callsign string, entity_type string").withColumn("ts", F.timestamp_seconds("s"))
     assert sorted(r.obs_id for r in tracks.stitch(df).collect()) == [0, 2]
+
+
+def test_shelf_clears_the_driver(spark, monkeypatch):
+    """What nobody holds any more is gone from the driver's JVM once a table is written."""
+    from vantage import shelf
+
+    monkeypatch.setattr(shelf, "CLEAR_FROM", 0.0)
+    monkeypatch.setattr(shelf, "CLEAR_EVERY_S", 0.0)
+    jvm = spark.sparkContext._jvm
+    left = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    shelf.Shelf(spark, "clear").put(spark.range(3))
+    assert left.get() is None
