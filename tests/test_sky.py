@@ -4,9 +4,11 @@ import json
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from vantage import queries
 from vantage.config import OBSERVER
 from vantage.functions import astro, geo, labels
 from vantage.functions.sgp4 import Elements
@@ -48,6 +50,28 @@ def test_angles_and_labels(spark):
     assert (round(s.x), round(s.y), s.visible) == (700, 300, True)
 
 
+def test_sines_have_the_last_bits_of_the_c_library(spark):
+    d = F.col("id") / F.lit(10.0)
+    for r in spark.range(3600).select("id", geo.sin_deg(d).alias("s"), geo.cos_deg(d).alias("c")).collect():
+        assert (r.s, r.c) == (math.sin(math.radians(r.id / 10)), math.cos(math.radians(r.id / 10)))
+    assert one(spark, geo.sin_deg(F.lit(None).cast("double"))) is None and one(spark, geo.sin_deg(F.lit(12.34))) == pytest.approx(math.sin(math.radians(12.34)), rel=1e-15)
+
+
+def test_opposite_headings_give_the_headings_of_the_sql(spark, tmp_path):
+    """Tracks of two points whose headings cancel, of every pair that events can have."""
+    at = {(k * 36 + j * 10) % 3600: (k, j) for k in range(100) for j in range(11)}
+    pairs = [m for m in range(1800) if m in at and m + 1800 in at]
+    rows = [((n * 2 + q) * 11 + at[m + q * 1800][1], n, q, at[m + q * 1800][0]) for n, m in enumerate(pairs) for q in (0, 1)]
+    duck = duckdb.connect()
+    duck.sql("create table r (i bigint, u bigint, q int, k int)")
+    duck.executemany("insert into r values (?, ?, ?, ?)", rows)
+    duck.sql("create table events as select i as event_id, timestamp '2024-01-01' + to_hours(q) as ts, u as user_id, 'view' as event_type, 1e0 as value, '{\"k\": ' || k || '}' as props from r")
+    duck.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    want = duck.sql(queries.oracle_sql()["circular_heading"]).fetchall()
+    assert len(want) == len(pairs) > 400
+    assert sorted(tuple(r) for r in queries.circular_heading(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_sun(spark):
     at = lambda t: one(spark, astro.sun_position(F.lit(float(t)), OBSERVER.lat, OBSERVER.lon)).el
     assert 60 < at(1_781_110_800) < 80 and at(1_781_067_600) < -10

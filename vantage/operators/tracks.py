@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GAP_SECONDS, OVERHEAD_ELEVATION_DEG, OVERHEAD_RANGE_M
-from ..functions.geo import flat_distance_m, normalize_deg
+from ..functions.geo import cos_deg, flat_distance_m, normalize_deg, sin_deg
 
 _ORDER = ["ts", "obs_id"]
 
@@ -36,8 +36,8 @@ def steps(points: DataFrame) -> DataFrame:
 
 
 def circular_mean(deg: Column | str) -> Column:
-    r = F.radians(deg)
-    return normalize_deg(F.degrees(F.atan2(F.sum(F.sin(r)), F.sum(F.cos(r)))))
+    """Opposite angles leave only the rounding errors of their sines, so these must have SQL's last bits."""
+    return normalize_deg(F.degrees(F.atan2(F.sum(sin_deg(deg)), F.sum(cos_deg(deg)))))
 
 
 def roll_up(points: DataFrame) -> DataFrame:
